@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bullgauge.llm import boiler, lookalike, repair
+from bullgauge.llm import boiler, encode, lookalike, mixture, repair, subjects
+from bullgauge.llm.shared import written
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,8 +84,46 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("table_name", "row_id", F.coalesce("unified", "text").alias("text"))
 
 
+# ------------------------------------------------------------------ 6
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.ids(spark, _table(spark, sf, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
+
+
+# ------------------------------------------------------------------ 7
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = _table(spark, sf, "mix_target")
+    sized = written(spark, encode.sizes(spark, _table(spark, sf, "documents"), ["doc_id", "source"], "text"), "sizes")
+    return mixture.mix(sized, targets, "doc_id"), targets
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, source, n_ids, copies of each document in the mixture."""
+    return _mixture(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the tokens that each listed source reached."""
+    return mixture.shares(*_mixture(spark, sf))
+
+
+# ------------------------------------------------------------------ 8
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects(spark, *(_table(spark, sf, t) for t in ("documents", "subject_label", "subject_area")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per subject, and the subject's part of the corpus by the documents' shares."""
+    found = _subjects(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight"))
+    whole = found.agg(F.sum("weight").alias("whole"))
+    return found.join(F.broadcast(whole)).select("subject", "documents", (F.col("weight") / F.col("whole")).alias("part"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_restored, p3_found, p3_plain, p5_found, p5_unified)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_restored, p3_found, p3_plain, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
