@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bullgauge.llm import boiler, encode, lookalike, mixture, repair, subjects
+from bullgauge.llm import boiler, encode, history, lookalike, mixture, repair, reports, subjects
 from bullgauge.llm.shared import written
 
 
@@ -21,9 +21,9 @@ def _readable(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 1
 def _repeated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    reports = _table(spark, sf, "report")
-    found = boiler.report_lines(spark, reports)
-    return found, boiler.repeated(found, boiler.sources(reports))
+    every = _table(spark, sf, "report")
+    found = boiler.report_lines(spark, every)
+    return found, boiler.repeated(found, boiler.sources(every))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,11 +61,16 @@ def p3_plain(spark: SparkSession, sf: str) -> DataFrame:
     return repair.strip_markup(_readable(spark, sf), "id", "parsed_text").select(F.col("key").alias("report_id"), "text", "kinds")
 
 
+# ------------------------------------------------------------------ 4
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.repeats(spark, _table(spark, sf, "report"), _table(spark, sf, "intake_batch")).select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
+
+
 # ------------------------------------------------------------------ 5
 def _views(spark: SparkSession, sf: str) -> DataFrame:
-    reports = _readable(spark, sf).select(F.lit("report").alias("table_name"), F.col("id").alias("row_id"), F.col("parsed_text").alias("text"))
+    texts = _readable(spark, sf).select(F.lit("report").alias("table_name"), F.col("id").alias("row_id"), F.col("parsed_text").alias("text"))
     segments = _table(spark, sf, "segment").select(F.lit("segment").alias("table_name"), F.col("id").alias("row_id"), F.col("raw_text").alias("text"))
-    return reports.unionByName(segments)
+    return texts.unionByName(segments)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +128,7 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_restored, p3_found, p3_plain, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_restored, p3_found, p3_plain, p4_found, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
