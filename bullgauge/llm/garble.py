@@ -222,6 +222,19 @@ def suspect() -> re.Pattern:
     return re.compile(f"[{_HIGH}]{{2}}|{LOST}|{run.pattern}|{latin.pattern}|(?:{_big5_runs().pattern}.?){{3}}|[ㄛㄩ﹝﹛銆锛]")
 
 
+@lru_cache(1)
+def _screen() -> re.Pattern:
+    """One class of characters of which every suspect place holds one: most texts are clean by it alone."""
+    run, latin = _gbk_classes()
+    first = run.pattern[1 : run.pattern.index("](?:")]
+    second = latin.pattern[latin.pattern.index("脙") : latin.pattern.rindex("])[a-z]")].replace("|[", "")
+    return re.compile(f"[{_HIGH}{LOST}{first}{second}{_big5_runs().pattern[1:-1]}ㄛㄩ﹝﹛銆锛]")
+
+
+def is_suspect(text: str) -> bool:
+    return not text.isascii() and _screen().search(text) is not None and suspect().search(text) is not None
+
+
 def _good(text: str) -> tuple[int, int]:
     """Characters that speak for a restored span, and against it."""
     known, every = vocabulary(), common_han()
@@ -308,7 +321,7 @@ def _unlost(line: str) -> bool:
 
 def repair_line(line: str) -> tuple[str, bool]:
     """The line as it was written, as far as that can be told, and whether any of it was garbled."""
-    if line.isascii() or not suspect().search(line):
+    if not is_suspect(line):
         return line, False
     hit = False
     for _ in range(3):  # some text went through two wrong decoders
@@ -332,14 +345,14 @@ def repair_line(line: str) -> tuple[str, bool]:
         if not gain:
             break
         line, hit = best, True
-        if line.isascii() or not suspect().search(line):
+        if not is_suspect(line):
             break
     return line, hit or _unlost(line)
 
 
 def repair_text(text: str | None) -> tuple[str | None, bool]:
     """All lines of a text; line feeds stay where they are."""
-    if not text or text.isascii() or not suspect().search(text):
+    if not text or not is_suspect(text):
         return text, False
     lines, hit = text.split("\n"), False
     for k, x in enumerate(lines):

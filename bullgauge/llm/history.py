@@ -4,13 +4,13 @@ Method: multi-key sorted-neighbourhood runs. Every document has several sort key
 file, the hash of its body, and ``KEYS`` keys of eight one-byte minimums each (minimum hashes of its runs of ``RUN`` characters).
 The keys of a batch are sorted within key ranges and persisted as a run; a new run is merged with
 the persisted runs of each range, and only the windows around its records are compared: neighbours up to
-``WINDOW`` places away that share ``PREFIX`` bytes of the key. After every ``COMPACT`` batches the
+``WINDOW`` places away that share the first ``PREFIX`` bytes of the key and ``REST`` of the others. After every ``COMPACT`` batches the
 runs of a range are merged into one. Candidates are verified exactly on their bodies.
 
 Scale: documents with the same file or body are one record of the run (the first of them; the others are linked to it by a
 pre-aggregated minimum), so a group of copies that holds a third of all rows is one entry in every
-key range. A batch reads keys of 16 bytes of the history, never its texts, but for the candidates. Neighbours share
-four random bytes by chance once in 10^7 pairs of unlike documents; the window keeps the nearest in order of the key,
+key range. A batch reads keys of 16 bytes of the history, never its texts, but for the candidates. Unlike documents
+are candidates by chance once in 10^7 pairs; the window keeps the nearest in order of the key,
 and a new record needs to meet only one member of a family, as links are followed through others.
 
 Defined results: a null or empty body has no body keys, a null file hash no file key; bodies of fewer than ``RUN``
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from bullgauge.llm.shared import shared_dir, written
 
 RUN, SIMILAR = 5, 0.6
-KEYS, PREFIX, WINDOW, COMPACT = 24, 4, 6, 4
+KEYS, PREFIX, REST, WINDOW, COMPACT = 16, 3, 2, 8, 4
 BINS = KEYS * 8
 FILE, BODY, NEAR = 0, 1, 2  # numbers of the keys
 _SPACE = re.compile(r"\s+")
@@ -213,10 +213,10 @@ def _merge(old: list[str], new: str, r: int) -> pa.RecordBatch:
         for d in range(1, WINDOW + 1):
             one, two = slice(0, key.size - d), slice(d, None)
             near = number[two] >= NEAR
-            same = np.where(near, key[one] >> shift == key[two] >> shift, key[one] == key[two])
+            other = key[one] ^ key[two]
+            rest = sum(((other >> np.uint64(8 * k)) & np.uint64(255) == 0).astype(np.int8) for k in range(8 - PREFIX))
+            same = np.where(near, (other >> shift == 0) & (rest >= REST), other == 0)
             hit = np.flatnonzero(same & (number[one] == number[two]) & (fresh[one] | fresh[two]) & (doc[one] != doc[two]))
-            if not hit.size and d > 1:
-                break
             got.append((np.minimum(doc[hit], doc[hit + d]), np.maximum(doc[hit], doc[hit + d]), number[hit]))
         a, b, kinds = (np.concatenate([g[k] for g in got]) for k in range(3))
         kinds = np.minimum(kinds, NEAR)

@@ -55,13 +55,31 @@ KINDS = {
 }
 
 
-def kinds(text: str | None) -> list[str]:
+_STARTS = frozenset("#>|-+*:`")
+
+
+def _has_line(text: str) -> bool:
+    """_LINE.search, on the lines only that begin with one of its signs."""
+    for line in text.split("\n"):
+        x = line.lstrip(" \t　")
+        if x and x[0] in _STARTS and _LINE.search(line):
+            return True
+    return False
+
+
+def kinds(text: str | None, folded: bool = False) -> list[str]:
     """The kinds of markup in a text, look-alike characters aside."""
     if not text:
         return []
-    if not text.isascii():
+    if not folded and not text.isascii():
         text = fold(text)
-    return [k for k, checks in KINDS.items() if any(any(s in text for s in signs) and p.search(text) for signs, p in checks)]
+    out = []
+    for k, checks in KINDS.items():
+        for signs, p in checks:
+            if any(s in text for s in signs) and (_has_line(text) if p is _LINE else p.search(text)):
+                out.append(k)
+                break
+    return out
 
 
 # ------------------------------------------------------------------ nodes
@@ -219,7 +237,7 @@ def _lines(text: str, head: str) -> str:
 
 def plain_text(text: str | None, marks: bool = True) -> str | None:
     """The text without markup. ``marks=False`` drops the signs of structure too and keeps every line where it stands (for comparing texts)."""
-    if not text or not kinds(text):
+    if not text or not kinds(text, not marks):
         return text
     head = "\3" if marks else ""
     if not marks:

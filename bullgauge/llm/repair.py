@@ -59,11 +59,8 @@ def comparable(text: str) -> str:
     """A text with problems 2, 3 and 5 put right and every line where it stood."""
     new, _ = garble.repair_text(text)
     new = fold(new)
-    if markup.kinds(new):
-        new = markup.plain_text(new, marks=False)
-        if not new.isascii():
-            new = fold(new)
-    return new
+    plain = markup.plain_text(new, marks=False)  # the same object where there is no markup
+    return new if plain is new else fold(plain)
 
 
 @lru_cache(1)
