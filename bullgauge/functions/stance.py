@@ -59,16 +59,21 @@ def intensity(scope: Column) -> Column:
     return out
 
 
-def _first_rule(clause: Column, weak: bool) -> Column:
+def _first_rule(clause: Column, weak: Column | bool = True) -> Column:
+    """Number of the first rule that fits; ``weak``: do trend words count."""
     case = None
     for r in lexicon.RULES:
-        if weak or r.group != "weak":
-            case = (F.when if case is None else case.when)(clause.rlike(r.pattern), F.lit(r.ord))
+        fits = clause.rlike(r.pattern)
+        if r.group == "weak":
+            fits = weak & fits if isinstance(weak, Column) else fits & F.lit(weak)
+        case = (F.when if case is None else case.when)(fits, F.lit(r.ord))
     return case
 
 
 def _of_rule(ord_: Column, values: list) -> Column:
-    return F.get(F.array(*map(F.lit, values)), ord_ - 1)
+    """The rule's entry in a list, written as one literal array."""
+    items = ",".join(f"r'{v}'" if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v).lower() for v in values)
+    return F.get(F.expr(f"array({items})"), ord_ - 1)
 
 
 def _spaced(matched: Column) -> Column:
@@ -81,14 +86,14 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _judge(raw: Column, sentence: Column, weak: bool, s: Settings, whole: bool = False) -> Column:
-    """What one clause says; null if no rule fits."""
+def _judge(part: Column, weak: Column, s: Settings) -> Column:
+    """What a part (raw, sentence, whole: is it the text itself) says; null if no rule fits."""
     rules, n = lexicon.RULES, s.negation_window
 
     def rule(x: Column) -> Column:
         o = x["o"]
         found = F.struct(
-            *(x[k].alias(k) for k in ("c", "o", "raw", "sentence")),
+            *(x[k].alias(k) for k in ("c", "o", "raw", "sentence", "whole")),
             _of_rule(o, [r.pattern for r in rules]).alias("pattern"),
             _of_rule(o, [r.direction for r in rules]).alias("d"),
             _of_rule(o, [r.confidence for r in rules]).alias("conf"),
@@ -109,7 +114,8 @@ def _judge(raw: Column, sentence: Column, weak: bool, s: Settings, whole: bool =
         negated = ~z["y"]["x"]["plain"] & (F.regexp_count(z["left"], F.lit(_NEG)) % 2 == 1)
         factor = let(F.concat(z["left"], z["y"]["m"]), intensity)
         x, found = z["y"]["x"], z["y"]["found"]
-        line = strip(_extract(x["sentence"], F.concat(F.lit(f"(?i)([^{_SENT}]*"), found, F.lit(f"[^{_SENT}]*)")))) if whole else strip(x["sentence"])
+        around = _extract(x["sentence"], F.concat(F.lit(f"(?i)([^{_SENT}]*"), found, F.lit(f"[^{_SENT}]*)")))
+        line = strip(F.when(x["whole"], around).otherwise(x["sentence"]))
         piece = strip(_extract(x["raw"], F.concat(F.lit(f"(?i)([^{_SEP}]*"), found, F.lit(f"[^{_SEP}]*)"))))
         return let(F.struct(z.alias("z"), negated.alias("negated"), factor.alias("f"), line.alias("line"), piece.alias("piece")), result)
 
@@ -127,30 +133,44 @@ def _judge(raw: Column, sentence: Column, weak: bool, s: Settings, whole: bool =
         return F.struct(direction.alias("direction"), confidence.alias("confidence"), evidence.alias("evidence"), matched.alias("matched"), x["o"].alias("rule"), negated.alias("negated"))
 
     def numbered(x: Column) -> Column:
-        return let(F.struct(x["c"].alias("c"), _first_rule(x["c"], weak).alias("o"), x["raw"].alias("raw"), x["sentence"].alias("sentence")), rule)
+        return let(F.struct(x["c"].alias("c"), _first_rule(x["c"], weak).alias("o"), *(x[k].alias(k) for k in ("raw", "sentence", "whole"))), rule)
 
-    return let(F.struct(compact(raw).alias("c"), raw.alias("raw"), sentence.alias("sentence")), numbered)
+    return let(F.struct(compact(part["raw"]).alias("c"), *(part[k].alias(k) for k in ("raw", "sentence", "whole"))), numbered)
 
 
 def _cut(piece: Column) -> Column:
     return F.when(F.length(piece) > 120, F.concat(F.left(piece, F.lit(120)), F.lit("…"))).otherwise(piece)
 
 
-def classify(text: Column, weak: bool = True, last: bool = False, s: Settings = DEFAULT) -> Column:
-    """Struct of the stance, or null where no rule fits. ``weak``: trend words count; ``last``: the last clause speaks, as in whole blocks."""
-    end = F.lit(-1 if last else 1)
+def _candidate(text: Column, weak: bool, last: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(weak).alias("weak"), F.lit(last).alias("last"))
+
+
+def _first_said(candidates: Column, s: Settings) -> Column:
+    """The stance of the first candidate text that has one: a fold that stops looking once it has a result, with one copy of the rules in the plan."""
 
-    def pick(said: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.filter(said, lambda r: r["direction"] != 0), end), F.try_element_at(said, end))
+    def pick(x: Column) -> Column:
+        end = F.when(x["last"], -1).otherwise(1)
+        parts = F.filter(x["said"], lambda r: ~r["whole"])
+        some = F.filter(parts, lambda r: r["r"]["direction"] != 0)
+        return F.coalesce(*(F.try_element_at(a, end)["r"] for a in (some, parts)), F.try_element_at(x["said"], F.lit(1))["r"])
 
-    def clauses(t: Column) -> Column:
-        sentences = F.filter(F.split(t, f"[{_SENT}]", -1), lambda x: strip(x) != "")
-        parts = F.flatten(F.transform(sentences, lambda y: F.transform(F.filter(F.split(y, _CLAUSE, -1), lambda x: x != ""), lambda x: F.struct(x.alias("raw"), y.alias("sentence")))))
-        said = F.filter(F.transform(parts, lambda p: _judge(p["raw"], p["sentence"], weak, s)), lambda r: r.isNotNull())
-        pieces = F.size(F.filter(F.split(t, _CLAUSE, -1), lambda x: x != ""))
-        return F.when(strip(t) != "", F.coalesce(let(said, pick), F.when(pieces != 1, _judge(t, t, weak, s, whole=True))))
+    def says(x: Column) -> Column:
+        t = x["text"]
+        sentences = F.filter(F.split(t, f"[{_SENT}]", -1), lambda y: strip(y) != "")
+        clauses = F.flatten(F.transform(sentences, lambda y: F.transform(F.filter(F.split(y, _CLAUSE, -1), lambda c: c != ""), lambda c: F.struct(c.alias("raw"), y.alias("sentence"), F.lit(False).alias("whole")))))
+        itself = F.array(F.struct(t.alias("raw"), t.alias("sentence"), F.lit(True).alias("whole")))
+        # words that a break cuts in two are found in the whole text only; it counts where no clause says anything
+        parts = F.when(F.size(F.split(t, _CLAUSE, -1)) > 1, F.concat(clauses, itself)).otherwise(clauses)
+        said = F.filter(F.transform(parts, lambda p: F.struct(_judge(p, x["weak"], s).alias("r"), p["whole"].alias("whole"))), lambda r: r["r"].isNotNull())
+        return F.when(strip(t) != "", let(F.struct(said.alias("said"), x["last"].alias("last")), pick))
 
-    return let(text, clauses)
+    return F.aggregate(candidates, F.lit(None).cast(RESULT), lambda found, x: F.coalesce(found, says(x)).cast(RESULT))
+
+
+def classify(text: Column, weak: bool = True, last: bool = False, s: Settings = DEFAULT) -> Column:
+    """Struct of the stance, or null where no rule fits. ``weak``: trend words count; ``last``: the last clause speaks, as in whole blocks."""
+    return _first_said(F.array(_candidate(text, weak, last)), s)
 
 
 def miss_evidence(text: Column) -> Column:
@@ -182,12 +202,15 @@ def score_segment(advice: Column, raw: Column, s: Settings = DEFAULT) -> Column:
 
     def cascade(x: Column) -> Column:
         a, r, label, end = x["a"], x["r"], x["label"], x["end"]
-        found = F.coalesce(
-            F.when(a != "", classify(a, s=s)),
-            F.when(label != "", classify(label, s=s)),
-            F.when((end != "") & (end != label), classify(end, weak=False, last=True, s=s)),
-            F.when(r != end, classify(r, weak=False, last=True, s=s)),
-            F.when(r != "", classify(r, last=True, s=s)),
+        found = _first_said(
+            F.array(
+                _candidate(a, True, False),
+                _candidate(label, True, False),
+                _candidate(F.when(end != label, end), False, True),
+                _candidate(F.when(r != end, r), False, True),
+                _candidate(r, True, True),
+            ),
+            s,
         )
         rest = miss_evidence(F.when(r != "", r).otherwise(a))
         none = F.struct(F.lit(0.0).alias("direction"), F.lit(0.0).alias("confidence"), rest.alias("evidence"), F.lit("").alias("matched"), F.lit(None).cast("int").alias("rule"), F.lit(False).alias("negated"))

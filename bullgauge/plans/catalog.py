@@ -276,7 +276,7 @@ def classify_advice(spark, sf):
 def first_rule(spark, sf):
     """The first rule, in order, that fits the advice as a whole."""
     c = stance.compact(F.col("advice_text"))
-    return _t(spark, sf, "segment").select("id", stance._first_rule(c, True).alias("rule"))
+    return _t(spark, sf, "segment").select("id", stance._first_rule(c).alias("rule"))
 
 
 @_query
