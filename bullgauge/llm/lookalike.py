@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WIDE_SIGNS = "％＋．"
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
-SPACES = "               　"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Letters of the Cyrillic and Greek alphabets that look like a Latin letter: fixed values of their shapes.
 ALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеоорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυικρ", "ABESIJKMHOPCTYXaeoopcyxijshdqwABEZHIKMNOPTYXovuikp", strict=True))
 _FOREIGN = "Ͱ-ϿЀ-ԯ"
@@ -51,8 +51,8 @@ def _python_table() -> dict[int, str | None]:
 
 #: Character class of what makes a piece odd, but for letters of other alphabets.
 ODD = (
-    f"０-９Ａ-Ｚａ-ｚ{WIDE_SIGNS}̀-ͯ­؜᠎​-‏‪-‮⁠-⁤⁦-⁩﻿"
-    f"   -   　⺀-⿕豈-龎ﬀ-ﬆｦ-ﾟ"
+    f"\uff10-\uff19\uff21-\uff3a\uff41-\uff5a{WIDE_SIGNS}\u0300-\u036f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff"
+    f"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u2e80-\u2fd5\uf900-\ufad9\ufb00-\ufb06\uff66-\uff9f"
 )
 _ODD = re.compile(f"[{ODD}\U0001d400-\U0001d7ff\U0002f800-\U0002fa1d]")
 _MIXED = re.compile(f"[A-Za-z{_FOREIGN}]*[{_FOREIGN}][A-Za-z{_FOREIGN}]*")

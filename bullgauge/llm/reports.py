@@ -18,7 +18,8 @@ _DOCS_A_RANGE = 2_000_000
 def repaired(reports: DataFrame, batches: DataFrame) -> DataFrame:
     """id, batch_no, file_md5, source, text (repaired lines), lines (hashes of their forms, 0 for a blank one); no text for unreadable reports, no batch outside of all."""
     spans = batches.select("batch_no", "opened_at", "closed_at")
-    rows = reports.join(F.broadcast(spans), (reports["ingest_time"] >= spans["opened_at"]) & (reports["ingest_time"] < spans["closed_at"]), "left")  # the batches are a small fixed table
+    rows = reports.select("id", "ingest_time", "file_md5", "org_id", "parse_status", "parsed_text")
+    rows = rows.join(F.broadcast(spans), (F.col("ingest_time") >= F.col("opened_at")) & (F.col("ingest_time") < F.col("closed_at")), "left")  # the batches are a small fixed table
     rows = rows.select("id", F.col("batch_no").cast("int").alias("batch_no"), "file_md5", F.col("org_id").cast("long").alias("source"), F.when(F.col("parse_status") == "ok", F.col("parsed_text")).alias("text"))
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
