@@ -138,7 +138,7 @@ def _sequences() -> dict[str, set[tuple[str, str]]]:
         if read == "cp1252":  # read as Latin-1, all of it C1 controls, or as the code page
             tables = [{chr(c): chr(c) for c in range(0x80, 0x100)}, {v: chr(k) for k, v in _single_byte("cp1252").items()}]
         for c in words:
-            if (c in LATIN or c in SIGNS) and (written == "big5" or read == "cp437" or c in SIGNS and written != "utf-8"):
+            if (c in LATIN or c in SIGNS) and (written == "big5" or read == "cp437" or c in SIGNS and c not in PUNCT and written != "utf-8"):
                 continue
             try:
                 raw = c.encode(written).decode("latin-1")
@@ -298,10 +298,10 @@ def _accept(old: str, new: str, written: str, read: str, before: str, after: str
             return before.isascii() and before.isalpha() and after.isascii() and after.isalpha()
         return "銆" in old or "锛" in old or len(old) >= 3 and plus >= 1.2 * size
     if written == "utf-8":
-        return plus >= 2
+        return len(old) >= 3
     if read == "cp1252":
-        if size == 1:
-            return new in LATIN and old[0] == "¨"
+        if size == 1:  # one sign or letter of the rows that nobody writes side by side
+            return new in LATIN and old[0] == "¨" or new in PUNCT and old[0] in "¡£"
         return plus >= 1.5 * size or size > 6
     # double-byte read as another: many characters that nobody writes become everyday ones
     odd = len((_big5_runs() if read == "big5" else _gbk_from_big5()).findall(old))

@@ -55,3 +55,8 @@ def test_null_empty_long():
     assert garble.repair_text(long) == (long, False)
     new, hit = garble.repair_text("好\n" + spoil("沪铜", "utf-8", "cp1252") + "\n\r\n")
     assert hit and new == "好\n沪铜\n\r\n"
+
+
+def test_single_quotes():
+    assert garble.repair_line("Tap ¡°Read more¡± to open") == ("Tap “Read more” to open", True)
+    assert garble.repair_line("Tap вЂњRead moreвЂќ to open") == ("Tap “Read more” to open", True)
