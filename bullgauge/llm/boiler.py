@@ -9,6 +9,7 @@ look-up of their document in the bitmap.
 Skew: the buckets split a source with a third of all documents; counting is pre-aggregated
 before the shuffle; a container never holds more than 65,536 documents. Only lines that reach the
 threshold by count are made into bitmaps, at most (lines of a document / share) of them in a source.
+Their keys are broadcast where they are counted to be few, and shuffled else.
 
 Defined results: null or blank texts and blank lines give no row; a source that is null has no lines;
 a line counts once per document; line numbers count line feeds in the stored text, from 0.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bullgauge.llm import repair
-from bullgauge.llm.shared import written
+from bullgauge.llm.shared import small, written
 
 MIN_DOCS, MIN_SHARE = 5, 0.06
 _HALF = 1 << 63
@@ -160,8 +161,10 @@ def repeated(found: DataFrame, docs_per_source: DataFrame, min_docs: int = MIN_D
     """source, line, docs, bitmaps (bucket -> container) of the lines that stand in at least ``min_docs`` documents of their source and in at least ``min_share`` of them."""
     enough = F.greatest(F.lit(float(min_docs)), F.col("n") * min_share - 1e-9)
     counted = found.filter("first").groupBy("source", "line").agg(F.count("*").alias("c")).filter(F.col("c") >= min_docs)
-    often = counted.join(F.broadcast(docs_per_source), "source").filter(F.col("c") >= enough).select("source", "line", "n")
-    maps = bitmaps(found.join(F.broadcast(often.select("source", "line")), ["source", "line"], "left_semi"))
+    spark = found.sparkSession
+    often = counted.join(small(spark, docs_per_source, "sources"), "source").filter(F.col("c") >= enough).select("source", "line", "n")
+    often = small(spark, often, "often")
+    maps = bitmaps(found.join(often, ["source", "line"], "left_semi"))
     whole = maps.groupBy("source", "line").agg(F.sum("cardinality").alias("docs"), F.max("variants").alias("variants"), F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("bitmaps"))
     return whole.join(often, ["source", "line"]).filter(F.col("docs") >= enough).drop("n")
 
@@ -170,7 +173,7 @@ def places(found: DataFrame, lines_: DataFrame) -> DataFrame:
     """doc, line_no of every place of a repeated line: the bitmap of (source, line, bucket) holds the document by construction, so the look-up is a join on its key."""
     keys = lines_.select("source", "line", F.explode("bitmaps").alias("bucket", "bitmap")).select("source", "line", "bucket")
     at = found.withColumn("bucket", F.shiftrightunsigned("doc", 16))
-    return at.join(F.broadcast(keys), ["source", "line", "bucket"], "left_semi").select("doc", "line_no")
+    return at.join(small(found.sparkSession, keys, "keys"), ["source", "line", "bucket"], "left_semi").select("doc", "line_no")
 
 
 def without(docs: DataFrame, doc: str, text: str, at: DataFrame) -> DataFrame:

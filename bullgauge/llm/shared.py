@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,13 @@ def written(spark: SparkSession, df: DataFrame, name: str, partition_by: list[st
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that every executor can hold.
+MOST_ROWS = 1_000_000
+
+
+def small(spark: SparkSession, df: DataFrame, name: str, most: int = MOST_ROWS) -> DataFrame:
+    """The table, written and counted: broadcast in joins if it is small, else left to a shuffle."""
+    kept = written(spark, df, name)
+    return F.broadcast(kept) if kept.count() <= most else kept
