@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bullgauge import lexicon
 from bullgauge.llm import boiler, encode, history, lookalike, mixture, repair, reports, subjects
 from bullgauge.llm.shared import written
 
@@ -113,7 +114,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 8
 def _subjects(spark: SparkSession, sf: str) -> DataFrame:
-    return subjects.subjects(spark, *(_table(spark, sf, t) for t in ("documents", "subject_label", "subject_area")))
+    names: dict[str, list[str]] = {}
+    for p in lexicon.PRODUCTS:  # the dictionary's products anchor the areas that are named like its sectors
+        names.setdefault(p.sector, []).extend(p.aliases)
+    more = F.try_element_at(F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, "\n".join(v)))), "name_zh")
+    areas = _table(spark, sf, "subject_area").withColumn("scope", F.concat_ws("\n", "scope", more))
+    return subjects.subjects(spark, _table(spark, sf, "documents"), _table(spark, sf, "subject_label"), areas)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,10 +29,10 @@ TERMS = 1 << 17
 SAMPLE = 8_000
 ROUNDS = 6
 MIN_SHARE = 0.2
-PULL = 0.5
+PULL = 1.2
 COMMON = 1  # subjects in which a common term may be missing
 SAID = 0.1  # expected share of common sentences
-SMOOTH = 0.3
+SMOOTH = 0.1
 ROUND = 300_000  # characters handled at once
 _POWERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
 _DOT = re.compile(r"(?<=[a-z)\"”’%0-9])[.!?](?=\s|$)")
@@ -93,7 +93,7 @@ def mixtures(t: Terms, h: np.ndarray, prior: np.ndarray, rounds: int = 4) -> tup
     for _ in range(rounds):
         y = x * w[t.sentence]
         y *= v / y.sum(1, keepdims=True)
-        # the document's mixture counts as much as one telling term; a sentence deals with one subject, so the strongest is sharpened
+        # the document's mixture counts as much as a little over one telling term; a sentence deals with one subject, so the strongest is sharpened
         own = (np.add.reduceat(y, t.starts, axis=0) + PULL * theta[t.doc]) / (size + PULL)
         w = np.square(own)
         w /= w.sum(1, keepdims=True)
@@ -139,7 +139,7 @@ def fit(texts: list[str], labels: np.ndarray, names: list[str]) -> np.ndarray:
     """H from labelled texts; labels: a row per text, a column per subject."""
     t = Terms(texts)
     k = labels.shape[1]
-    h = normal(anchors(t, labels, Terms(names)))
+    h = normal(anchors(t, labels, Terms(names)) * max(1, t.term.size) / (k + 1))
     some = labels.sum(1, keepdims=True)
     prior = np.concatenate([0.9 * labels / np.maximum(some, 1) + 0.1 / k, np.full((len(texts), 1), SAID)], 1)
     prior /= prior.sum(1, keepdims=True)
