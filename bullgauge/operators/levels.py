@@ -67,6 +67,12 @@ def baseline_vs_index(readable: DataFrame, index: DataFrame) -> DataFrame:
     return baseline(readable).join(market, ["model_version", "trade_date"], "left").withColumn("diff", F.bround(F.col("index_net") - F.col("net"), 1))
 
 
+def pooled_net(index: DataFrame) -> DataFrame:
+    """The market's net from the product rows alone, unweighted and unrounded: what a page shows where the market row is missing."""
+    p = index.filter("level = 'product'").groupBy("model_version", "trade_date").agg(F.sum("bull_count").alias("b"), F.sum("bear_count").alias("s"), F.sum(F.col("bull_count") + F.col("bear_count") + F.col("neutral_count")).alias("n"))
+    return p.select("model_version", "trade_date", F.try_divide((F.col("b") - F.col("s")).cast("double") * 100, F.col("n").cast("double")).alias("net"))
+
+
 def org_hits(votes: DataFrame) -> DataFrame:
     """Product votes per house and day; a house with macro votes only has 0."""
     return votes.groupBy("model_version", "trade_date", "org_name").agg(F.count("product_code").alias("hits"))

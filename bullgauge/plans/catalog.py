@@ -269,7 +269,36 @@ def sector_of(spark, sf):
 def classify_advice(spark, sf):
     """Stance of the advice of all segments."""
     r = stance.classify(F.col("advice_text"))
-    return _t(spark, sf, "segment").select("id", r.alias("r")).select("id", F.col("r.rule").alias("rule"), "r.direction", "r.confidence", "r.negated", "r.evidence")
+    return _t(spark, sf, "segment").select("id", r.alias("r")).select("id", F.col("r.rule").alias("rule"), (F.col("r.direction") + F.lit(0.0)).alias("direction"), "r.confidence", "r.negated")
+
+
+@_query
+def advice_evidence(spark, sf):
+    """The evidence of each stance, a part of the advice, and the words that the rule matched."""
+    r = stance.classify(F.col("advice_text"))
+    return _t(spark, sf, "segment").select("id", r.alias("r")).filter("r IS NOT NULL").select("id", "r.evidence", "r.matched")
+
+
+@_query
+def rule_hits(spark, sf):
+    rule = stance._first_rule(stance.compact(F.col("advice_text")))
+    return _t(spark, sf, "segment").groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+
+
+@_query
+def intensity(spark, sf):
+    return _t(spark, sf, "segment").select("id", stance.intensity(F.col("advice_text")).alias("factor"))
+
+
+@_query
+def negation(spark, sf):
+    n = F.regexp_count(F.coalesce(stance.compact(F.col("advice_text")), F.lit("")), F.lit(stance._NEG))
+    return _t(spark, sf, "segment").select("id", n.alias("negations"))
+
+
+@_query
+def pooled_net(spark, sf):
+    return levels.pooled_net(_index(spark, sf))
 
 
 @_query

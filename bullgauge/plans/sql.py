@@ -10,6 +10,38 @@ def _list(values) -> str:
     return "[" + ",".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values) + "]"
 
 
+def _negation(lexicon) -> str:
+    return "|".join(sorted(lexicon.NEGATIONS, key=len, reverse=True))
+
+
+def _factor(text: str, lexicon) -> str:
+    has = lambda w: f"regexp_matches({text}, '(^|[^策战忽省方])略')" if w == "略" else f"contains({text}, '{w}')"
+    return " * ".join(f"CASE WHEN {has(w)} THEN {f}::DOUBLE ELSE 1.0::DOUBLE END" for w, f in lexicon.INTENSITY.items())
+
+
+def _stance(lexicon) -> str:
+    """said(id, rule, direction, confidence, negated) of every advice: clauses, first rule of each, negation, intensity; the first clause with a direction, else the first, else the whole text."""
+    # RE2 has no look-behind; what stands before a match decides nothing but where it begins
+    plain = [r.pattern.replace("(?<!难)", "") for r in lexicon.RULES]
+    first = " ".join(f"WHEN regexp_matches(c, '{p}') THEN {k}" for k, p in enumerate(plain, 1))
+    match = " ".join(f"WHEN {k} THEN regexp_extract(c, '{'(?:^|[^难])(' + p + ')' if r.pattern != p else '(' + p + ')'}', 1)" for k, (p, r) in enumerate(zip(plain, lexicon.RULES, strict=True), 1))
+    per = lambda f: f"{_list([f(r) for r in lexicon.RULES])}"
+    sep = "，。；、：！？,;:.!?（）()【】\\[\\]“”\"''《》\\n\\t·—\\- 　"
+    blank = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{85}]"
+    return f"""WITH parts AS (
+      SELECT id, i, unnest(cl) AS raw FROM (SELECT id, advice_text, list_filter(regexp_split_to_array(advice_text, '[，,；;。！？!?、\n\t]+'), lambda x: x <> '') AS cl0 FROM segment), LATERAL (SELECT unnest(range(len(cl0))) AS i, [cl0[i + 1]] AS cl)
+      UNION ALL SELECT id, 1000000, advice_text FROM segment WHERE regexp_matches(advice_text, '[，,；;。！？!?、\n\t]')),
+    ruled AS (SELECT *, CASE {first} END AS k FROM (SELECT id, i, lower(regexp_replace(raw, '{blank}', '', 'g')) AS c FROM parts)),
+    found AS (SELECT *, strpos(c, m) AS pos FROM (SELECT *, CASE k {match} END AS m FROM ruled WHERE k IS NOT NULL)),
+    win AS (SELECT *, regexp_extract(substr(c, greatest(1, pos - 6), least(pos - 1, 6)), '[^{sep}]*$') AS lft, {per(lambda r: r.direction)}[k]::DOUBLE AS d, {per(lambda r: r.confidence)}[k]::DOUBLE AS conf, {per(lambda r: int(r.group == "special" or r.direction == 0))}[k] = 1 AS pl FROM found),
+    neg AS (SELECT *, NOT pl AND len(regexp_extract_all(lft, '{_negation(lexicon)}')) % 2 = 1 AS n, {_factor("(lft || m)", lexicon)} AS f FROM win),
+    judged AS (SELECT id, i, CAST(k AS INT) AS rule, n AS negated,
+      CASE WHEN n THEN -sign(d) * 0.5::DOUBLE WHEN NOT pl AND f <> 1 THEN sign(d) * round(least(2.0::DOUBLE, greatest(0.3::DOUBLE, abs(d) * f)), 2) ELSE d END AS direction,
+      CASE WHEN n THEN 0.55::DOUBLE WHEN NOT pl AND f <> 1 THEN round(least(0.99::DOUBLE, greatest(0.05::DOUBLE, conf * (0.6::DOUBLE + 0.4::DOUBLE * f))), 2) ELSE conf END AS confidence FROM neg),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i = 1000000, direction = 0, i) AS rn FROM judged),
+    said AS (SELECT g.id, b.rule, b.direction + 0.0::DOUBLE AS direction, b.confidence, b.negated FROM segment g LEFT JOIN best b ON b.id = g.id AND b.rn = 1)"""
+
+
 def build(lexicon) -> dict[str, str]:
     sectors = "CASE product_code " + " ".join(f"WHEN '{p.code}' THEN '{p.sector}'" for p in lexicon.PRODUCTS) + " END"
     sectors_any = "CASE upper(trim(product_code)) " + " ".join(f"WHEN '{p.code}' THEN '{p.sector}'" for p in lexicon.PRODUCTS) + " " + " ".join(f"WHEN '{p.name}' THEN '{p.sector}'" for p in lexicon.PRODUCTS if p.name != p.code) + " END"
@@ -47,7 +79,14 @@ def build(lexicon) -> dict[str, str]:
     parts = f"list_filter(list_transform(string_split({stem}, '_'), lambda x: trim(x)), lambda x: x <> '')"
     compact = r"lower(regexp_replace(advice_text, '\s', '', 'g'))"
     rules = " ".join(f"WHEN regexp_matches(c, '{r.pattern.replace('(?<!难)', '')}') THEN {r.ord}" for r in lexicon.RULES)
+    stance = _stance(lexicon)
     return {
+        "classify_advice": f"{stance} SELECT id, rule, direction, confidence, negated FROM said",
+        "method_stats": f"{stance} SELECT g.product_code, count(*) AS total, count(s.rule) AS hit, count(*) FILTER (s.direction > 0.25) AS bull, count(*) FILTER (s.direction < -0.25) AS bear FROM segment g JOIN said s ON s.id = g.id GROUP BY 1",
+        "rule_hits": f"SELECT CAST(rule AS INT) AS rule, count(*) AS n FROM (SELECT CASE {rules} END AS rule FROM (SELECT {compact} AS c FROM segment)) GROUP BY 1",
+        "intensity": f"SELECT id, {_factor('advice_text', lexicon)} AS factor FROM segment",
+        "negation": f"SELECT id, CAST(len(regexp_extract_all(coalesce({compact}, ''), '{_negation(lexicon)}')) AS INT) AS negations FROM segment",
+        "pooled_net": f"WITH {index()} SELECT model_version, trade_date, CAST(sum(bull_count) - sum(bear_count) AS DOUBLE) * 100 / CAST(sum(bull_count + bear_count + neutral_count) AS DOUBLE) AS net FROM idx WHERE level = 'product' GROUP BY ALL",
         "reports_with_org": "SELECT r.id, o.name AS org_name, r.title, CAST(r.ingest_time AS DATE) AS trade_date, r.parse_status FROM report r JOIN org o ON o.id = r.org_id",
         "pending_reports": "SELECT id, title, file_path FROM report WHERE parse_status = 'pending'",
         "unsegmented": "SELECT id, title FROM report r WHERE parse_status = 'ok' AND NOT EXISTS (SELECT 1 FROM segment s WHERE s.report_id = r.id)",
