@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from bullgauge.llm.shared import written
+
 WIDE_SIGNS = "％＋．"
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -144,7 +146,7 @@ def canonical_members(pieces: DataFrame) -> DataFrame:
 def unify(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, text in one form, changed (whether it differs) of the rows that may be odd; all other rows are in that form already."""
     rows = odd_rows(texts, text)
-    pieces = odd_pieces(rows, keys, text)
+    pieces = written(texts.sparkSession, odd_pieces(rows, keys, text), "pieces")
     to = pieces.join(canonical_members(pieces), "piece").groupBy(*keys).agg(F.map_from_entries(F.array_agg(F.struct("pos", "canonical"))).alias("to"))
     every = F.regexp_extract_all(text, F.lit(f"({PIECES})"), 1)
     out = rows.join(to, keys, "left").withColumn("__new", F.when(F.col("to").isNull(), F.col(text)).otherwise(F.array_join(F.transform(every, lambda x, i: F.coalesce(F.try_element_at("to", i), x)), "")))
@@ -154,7 +156,7 @@ def unify(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def found(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys of the texts with at least one piece that is not its class's canonical member."""
-    pieces = odd_pieces(odd_rows(texts, text), keys, text)
+    pieces = written(texts.sparkSession, odd_pieces(odd_rows(texts, text), keys, text), "pieces")  # read twice; cutting texts is the costly part
     return pieces.join(canonical_members(pieces), "piece").filter(F.col("piece") != F.col("canonical")).select(*keys).distinct()
 
 
