@@ -15,14 +15,15 @@ def latest_scores(scores: DataFrame, by_version: bool = True) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max_by(F.struct(*cols), "id").alias("s")).select(*keys, "s.*")
 
 
-def scored_segments(report: DataFrame, segment: DataFrame, score: DataFrame, org: DataFrame, by_version: bool = True) -> DataFrame:
-    """One row per scored segment (and version) with the columns that aggregation reads. Reports of an unknown house have no vote; the trade date is the day of intake, never of publication."""
-    last = latest_scores(score.select("id", "segment_id", "direction", "confidence", "evidence", "model_version"), by_version)
+def scored_segments(report: DataFrame, segment: DataFrame, score: DataFrame, org: DataFrame, by_version: bool = True, wide: bool = False) -> DataFrame:
+    """One row per scored segment (and version) with the columns that aggregation reads; ``wide`` adds those that only pages show (an argmax carries all its columns, so the narrow form keeps texts out of the shuffles). Reports of an unknown house have no vote; the trade date is the day of intake, never of publication."""
+    last = latest_scores(score.select("id", "segment_id", "direction", "confidence", "model_version", *(["evidence"] if wide else [])), by_version)
     return (
-        segment.select(F.col("id").alias("segment_id"), "report_id", "product_code", "product_name", "sector", "seq")
+        segment.select(F.col("id").alias("segment_id"), "report_id", "product_code", "sector", "seq", *(["product_name"] if wide else []))
         .join(last.drop("id"), "segment_id")
-        .join(report.select(F.col("id").alias("report_id"), "org_id", "title", "publish_time", "ingest_time"), "report_id")
+        .join(report.select(F.col("id").alias("report_id"), "org_id", "ingest_time", *(["title", "publish_time"] if wide else [])), "report_id")
         .join(org.select(F.col("id").alias("org_id"), F.col("name").alias("org_name")), "org_id")
+        .drop("org_id")
         .withColumn("product_code", F.nullif(F.trim("product_code"), F.lit("")))
         .withColumn("trade_date", F.to_date("ingest_time"))
         .withColumn("direction", F.col("direction") + F.lit(0.0))  # no negative zero
