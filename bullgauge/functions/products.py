@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -55,20 +54,31 @@ def name_of(code: Column) -> Column:
 
 # ------------------------------------------------------------------ in Python, for segmentation
 @lru_cache(1)
-def _finder() -> list[tuple[re.Pattern, str]]:
-    return [(re.compile(_pattern(a)), c) for a, c in lexicon.alias_index()]
+def _by_first() -> dict[str, list[tuple[str, str]]]:
+    out: dict[str, list[tuple[str, str]]] = {}
+    for alias, code in lexicon.alias_index():
+        out.setdefault(alias[0], []).append((alias, code))
+    return out
+
+
+_ALNUM = frozenset("0123456789" + _UPPER + _LOWER)
 
 
 @lru_cache(65_536)
 def find(text: str) -> tuple[str, ...]:
     """Codes in order of first place: hits of all aliases compete, longer ones first."""
     low = lexicon.ascii_lower(text)
+    hits = []
+    for i, c in enumerate(low):
+        for alias, code in _by_first().get(c, ()):
+            if low.startswith(alias, i):
+                end = i + len(alias)
+                if not alias.isascii() or low[i - 1 : i] not in _ALNUM and low[end : end + 1] not in _ALNUM:
+                    hits.append((-len(alias), alias, i, end, code))
     taken = bytearray(len(low))
     first: dict[str, int] = {}
-    for pattern, code in _finder():
-        for m in pattern.finditer(low):
-            a, b = m.span()
-            if not any(taken[a:b]):
-                taken[a:b] = b"\1" * (b - a)
-                first[code] = min(first.get(code, a), a)
+    for _, _, a, b, code in sorted(hits):
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            first[code] = min(first.get(code, a), a)
     return tuple(sorted(first, key=lambda c: (first[c], c)))

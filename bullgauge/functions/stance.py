@@ -61,12 +61,12 @@ def intensity(scope: Column) -> Column:
 
 def _first_rule(clause: Column, weak: Column | bool = True) -> Column:
     """Number of the first rule that fits; ``weak``: do trend words count."""
-    case = None
+    case = F.when(~clause.rlike(f"[{lexicon.needed_characters()}]"), F.lit(None).cast("int"))  # most clauses end here
     for r in lexicon.RULES:
         fits = clause.rlike(r.pattern)
         if r.group == "weak":
             fits = weak & fits if isinstance(weak, Column) else fits & F.lit(weak)
-        case = (F.when if case is None else case.when)(fits, F.lit(r.ord))
+        case = case.when(fits, F.lit(r.ord))
     return case
 
 
@@ -142,8 +142,9 @@ def _cut(piece: Column) -> Column:
     return F.when(F.length(piece) > 120, F.concat(F.left(piece, F.lit(120)), F.lit("…"))).otherwise(piece)
 
 
-def _candidate(text: Column, weak: bool, last: bool) -> Column:
-    return F.struct(text.alias("text"), F.lit(weak).alias("weak"), F.lit(last).alias("last"))
+def _candidates(*options: tuple[Column, bool, bool]) -> Column:
+    """(text, do trend words count, does the last clause speak), each first by clauses, then as a whole: words that a break cuts in two are found only there."""
+    return F.array(*(F.struct(t.alias("text"), F.lit(weak).alias("weak"), F.lit(last).alias("last"), F.lit(whole).alias("whole")) for t, weak, last in options for whole in (False, True)))
 
 
 def _first_said(candidates: Column, s: Settings) -> Column:
@@ -151,18 +152,16 @@ def _first_said(candidates: Column, s: Settings) -> Column:
 
     def pick(x: Column) -> Column:
         end = F.when(x["last"], -1).otherwise(1)
-        parts = F.filter(x["said"], lambda r: ~r["whole"])
-        some = F.filter(parts, lambda r: r["r"]["direction"] != 0)
-        return F.coalesce(*(F.try_element_at(a, end)["r"] for a in (some, parts)), F.try_element_at(x["said"], F.lit(1))["r"])
+        some = F.filter(x["said"], lambda r: r["direction"] != 0)
+        return F.coalesce(F.try_element_at(some, end), F.try_element_at(x["said"], end))
 
     def says(x: Column) -> Column:
         t = x["text"]
         sentences = F.filter(F.split(t, f"[{_SENT}]", -1), lambda y: strip(y) != "")
         clauses = F.flatten(F.transform(sentences, lambda y: F.transform(F.filter(F.split(y, _CLAUSE, -1), lambda c: c != ""), lambda c: F.struct(c.alias("raw"), y.alias("sentence"), F.lit(False).alias("whole")))))
-        itself = F.array(F.struct(t.alias("raw"), t.alias("sentence"), F.lit(True).alias("whole")))
-        # words that a break cuts in two are found in the whole text only; it counts where no clause says anything
-        parts = F.when(F.size(F.split(t, _CLAUSE, -1)) > 1, F.concat(clauses, itself)).otherwise(clauses)
-        said = F.filter(F.transform(parts, lambda p: F.struct(_judge(p, x["weak"], s).alias("r"), p["whole"].alias("whole"))), lambda r: r["r"].isNotNull())
+        itself = F.when(F.size(F.split(t, _CLAUSE, -1)) > 1, F.array(F.struct(t.alias("raw"), t.alias("sentence"), F.lit(True).alias("whole"))))
+        parts = F.when(x["whole"], itself).otherwise(clauses)
+        said = F.filter(F.transform(parts, lambda p: _judge(p, x["weak"], s)), lambda r: r.isNotNull())
         return F.when(strip(t) != "", let(F.struct(said.alias("said"), x["last"].alias("last")), pick))
 
     return F.aggregate(candidates, F.lit(None).cast(RESULT), lambda found, x: F.coalesce(found, says(x)).cast(RESULT))
@@ -170,7 +169,7 @@ def _first_said(candidates: Column, s: Settings) -> Column:
 
 def classify(text: Column, weak: bool = True, last: bool = False, s: Settings = DEFAULT) -> Column:
     """Struct of the stance, or null where no rule fits. ``weak``: trend words count; ``last``: the last clause speaks, as in whole blocks."""
-    return _first_said(F.array(_candidate(text, weak, last)), s)
+    return _first_said(_candidates((text, weak, last)), s)
 
 
 def miss_evidence(text: Column) -> Column:
@@ -203,12 +202,12 @@ def score_segment(advice: Column, raw: Column, s: Settings = DEFAULT) -> Column:
     def cascade(x: Column) -> Column:
         a, r, label, end = x["a"], x["r"], x["label"], x["end"]
         found = _first_said(
-            F.array(
-                _candidate(a, True, False),
-                _candidate(label, True, False),
-                _candidate(F.when(end != label, end), False, True),
-                _candidate(F.when(r != end, r), False, True),
-                _candidate(r, True, True),
+            _candidates(
+                (a, True, False),
+                (label, True, False),
+                (F.when(end != label, end), False, True),
+                (F.when(r != end, r), False, True),
+                (r, True, True),
             ),
             s,
         )
