@@ -13,6 +13,7 @@ from bullgauge.operators import levels, segmenting, trends, votes
 from bullgauge.plans import sql
 from bullgauge.settings import DEFAULT
 from bullgauge.sources import inbox
+from bullgauge.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -269,14 +270,14 @@ def sector_of(spark, sf):
 def classify_advice(spark, sf):
     """Stance of the advice of all segments."""
     r = stance.classify(F.col("advice_text"))
-    return _t(spark, sf, "segment").select("id", r.alias("r")).select("id", F.col("r.rule").alias("rule"), (F.col("r.direction") + F.lit(0.0)).alias("direction"), "r.confidence", "r.negated")
+    return spread(_t(spark, sf, "segment")).select("id", r.alias("r")).select("id", F.col("r.rule").alias("rule"), (F.col("r.direction") + F.lit(0.0)).alias("direction"), "r.confidence", "r.negated")
 
 
 @_query
 def advice_evidence(spark, sf):
     """The evidence of each stance, a part of the advice, and the words that the rule matched."""
     r = stance.classify(F.col("advice_text"))
-    return _t(spark, sf, "segment").select("id", r.alias("r")).filter("r IS NOT NULL").select("id", "r.evidence", "r.matched")
+    return spread(_t(spark, sf, "segment")).select("id", r.alias("r")).filter("r IS NOT NULL").select("id", "r.evidence", "r.matched")
 
 
 @_query
@@ -312,21 +313,21 @@ def first_rule(spark, sf):
 def score_segments(spark, sf):
     """Scores of all segments by the cascade of texts."""
     r = stance.score_segment(F.col("advice_text"), F.col("raw_text"))
-    return _t(spark, sf, "segment").select("id", r.alias("r")).select("id", "r.direction", "r.confidence", "r.evidence")
+    return spread(_t(spark, sf, "segment")).select("id", r.alias("r")).select("id", "r.direction", "r.confidence", "r.evidence")
 
 
 @_query
 def method_stats(spark, sf):
     """Hits, misses and stances of the rules per product."""
     r = stance.classify(F.col("advice_text"))
-    x = _t(spark, sf, "segment").select("product_code", r.alias("r"))
+    x = spread(_t(spark, sf, "segment")).select("product_code", r.alias("r"))
     return x.groupBy("product_code").agg(F.count("*").alias("total"), F.count("r").alias("hit"), F.count_if(F.col("r.direction") > DEFAULT.bull_cutoff).alias("bull"), F.count_if(F.col("r.direction") < DEFAULT.bear_cutoff).alias("bear"))
 
 
 @_query
 def segment_notes(spark, sf):
     """Blocks of all readable reports."""
-    r = _t(spark, sf, "report").filter("parse_status = 'ok'").select(F.col("id").alias("report_id"), text.normalize_text(F.col("parsed_text")).alias("t"))
+    r = spread(_t(spark, sf, "report")).filter("parse_status = 'ok'").select(F.col("id").alias("report_id"), text.normalize_text(F.col("parsed_text")).alias("t"))
     return segmenting.segment_notes(r, "report_id", "t")
 
 
