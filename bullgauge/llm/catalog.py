@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 from bullgauge import lexicon
 from bullgauge.llm import boiler, encode, history, lookalike, mixture, repair, reports, subjects
 from bullgauge.llm.shared import written
+from bullgauge.sources.spread import spread
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(_table(spark, sf, name))
+
+
 def _readable(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "report").filter("parse_status = 'ok'")
+    return _texts(spark, sf, "report").filter("parse_status = 'ok'")
 
 
 # ------------------------------------------------------------------ 1
 def _repeated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    every = _table(spark, sf, "report")
+    every = _texts(spark, sf, "report")
     found = boiler.report_lines(spark, every)
     return found, boiler.repeated(found, boiler.sources(every))
 
@@ -64,7 +69,7 @@ def p3_plain(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 4
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.repeats(spark, _table(spark, sf, "report"), _table(spark, sf, "intake_batch")).select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
+    return reports.repeats(spark, _texts(spark, sf, "report"), _table(spark, sf, "intake_batch")).select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
 
 
 # ------------------------------------------------------------------ 5
@@ -92,13 +97,13 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 6
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.ids(spark, _table(spark, sf, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
+    return encode.ids(spark, _texts(spark, sf, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
 
 
 # ------------------------------------------------------------------ 7
 def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = _table(spark, sf, "mix_target")
-    sized = written(spark, encode.sizes(spark, _table(spark, sf, "documents"), ["doc_id", "source"], "text"), "sizes")
+    sized = written(spark, encode.sizes(spark, _texts(spark, sf, "documents"), ["doc_id", "source"], "text"), "sizes")
     return mixture.mix(sized, targets, "doc_id"), targets
 
 
@@ -119,7 +124,7 @@ def _subjects(spark: SparkSession, sf: str) -> DataFrame:
         names.setdefault(p.sector, []).extend(p.aliases)
     more = F.try_element_at(F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, "\n".join(v)))), "name_zh")
     areas = _table(spark, sf, "subject_area").withColumn("scope", F.concat_ws("\n", "scope", more))
-    return subjects.subjects(spark, _table(spark, sf, "documents"), _table(spark, sf, "subject_label"), areas)
+    return subjects.subjects(spark, _texts(spark, sf, "documents"), _table(spark, sf, "subject_label"), areas)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
