@@ -6,13 +6,15 @@ The keys of a batch are sorted within key ranges and persisted as a run; a new r
 the persisted runs of each range, and only the windows around its records are compared: neighbours up to
 ``WINDOW`` places away that share the first ``PREFIX`` bytes of the key and ``REST`` of the other
 13: each record carries the document's next key as a check. After every ``COMPACT`` batches the
-runs of a range are merged into one. Candidates are verified exactly on their bodies.
+runs of a range are merged into one. Candidates are verified exactly on their bodies. Where a bucket
+(equal key number and ``PREFIX`` bytes) holds more than a window reaches, ``crowded`` goes on after the last batch with
+all pairs of the bucket: as candidates where few pass the bytes, else the bucket's bodies are brought together and compared by ``alike_in_crowds``.
 
 Scale: documents with the same file or body are one record of the run (the first of them; the others are linked to it by a
 pre-aggregated minimum), so a group of copies that holds a third of all rows is one entry in every
 key range. A batch reads keys of 24 bytes of the history, never its texts, but for the candidates. A batch's candidates
-are few: two documents with a sixth of their runs in common become one in 3,000 times, those that repeat each other at 0.65 in 99 of 100; the window keeps the nearest in order of the key,
-and a new record needs to meet only one member of a family, as links are followed through others.
+are few: two documents with a sixth of their runs in common become one in 3,000 times, those that repeat each other at 0.65 in 99 of 100. A bucket gives at most ``WINDOW`` candidates for
+each of its records; one with more is sent as records with a body each, in tiles of two blocks of ``BLOCK`` records, so its memory is bounded; its time grows with the square of the bucket.
 
 Defined results: a null or empty body has no body keys, a null file hash no file key; bodies of fewer than ``RUN``
 characters are compared by hash only; ties go to the smaller id; an empty batch adds an empty run.
@@ -37,6 +39,8 @@ RUN, SIMILAR = 5, 0.6
 KEYS, PREFIX, REST, WINDOW, COMPACT = 16, 3, 6, 8, 4
 BINS = KEYS * 8
 FILE, BODY, NEAR = 0, 1, 2  # numbers of the keys
+BLOCK = 8_000  # records of a bucket compared at once with as many others
+BITS = 4_096  # of the presence map of a body's runs
 #: Bounded broadcast of candidate ids (8 bytes each); beyond it they are joined by shuffle.
 MOST_IDS = 4_000_000
 
@@ -172,6 +176,21 @@ class History:
         todo.mapInArrow(compare, "a long, b long, key_no int").write.parquet(path)
         return self.spark.read.schema("a long, b long, key_no int").parquet(path)
 
+    def crowded(self) -> DataFrame:
+        """Buckets that hold more than a window reaches, over all batches. a, b of their pairs that pass the bytes, where these are at most WINDOW a record; else (a, key, check, crowd, block, one, two) of every record, once for each tile of blocks one and two."""
+        runs = list(self.runs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.column(0).to_pylist():
+                    yield from _crowds(runs, r)
+
+        near = (self.ranges - NEAR * self.splits, NEAR * self.splits)
+        todo = self.spark.range(near[1], self.ranges, 1, min(near[0], max(2, self.spark.sparkContext.defaultParallelism)))
+        path = f"{self.path}/crowds-{self.added}"
+        todo.mapInArrow(run, _CROWD).write.parquet(path)
+        return self.spark.read.schema(_CROWD).parquet(path)
+
     def compact(self) -> None:
         """All runs of each range become one sorted run."""
         if len(self.runs) < 2:
@@ -226,6 +245,136 @@ def _merge(old: list[str], new: str, r: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kinds.astype(np.int32), pa.int32())], names=["a", "b", "key_no"])
 
 
+# ------------------------------------------------------------------ crowded buckets
+_CROWD = "a long, b long, key long, check long, crowd long, block int, one int, two int"
+_CHUNK = 200_000
+
+
+def _rows(**cols: np.ndarray) -> pa.RecordBatch:
+    n = next(iter(cols.values())).size
+    names = [c.split() for c in _CROWD.split(", ")]
+    return pa.record_batch([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in ((c, pa.int64() if t == "long" else pa.int32()) for c, t in names)], names=[c for c, _ in names])
+
+
+def _bytes(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """16 rows: the bytes of the key and of the check."""
+    return np.ascontiguousarray(np.stack([key, check], 1).astype(np.int64).view(np.uint8).T)
+
+
+def _like(m: np.ndarray, k: int, end: int) -> np.ndarray:
+    """Records before ``end`` that share PREFIX + REST bytes with record k of the same bucket."""
+    return np.flatnonzero((m[:, :end] == m[:, k : k + 1]).sum(0, dtype=np.uint8) >= PREFIX + REST)
+
+
+def _crowds(runs: list[str], r: int) -> Iterator[pa.RecordBatch]:
+    parts = [_read(p, r) for p in runs]
+    number, key, check, doc = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+    if not key.size:
+        return
+    bucket = (number << np.int64(8 * PREFIX)) | (key.view(np.uint64) >> np.uint64(8 * (8 - PREFIX))).view(np.int64)
+    order = np.lexsort((doc, bucket))
+    key, check, doc, bucket = key[order], check[order], doc[order], bucket[order]
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, bucket.size]
+    got: list[np.ndarray] = []
+    held = 0
+    for x, z in zip(cuts[:-1], cuts[1:], strict=True):
+        n = int(z - x)
+        if n <= WINDOW + 1:  # the window met all of them
+            continue
+        m, own, count = _bytes(key[x:z], check[x:z]), [], 0
+        for k in range(1, n):
+            like = _like(m, k, k)
+            if like.size:
+                own.append(np.stack([doc[x:z][like], np.full(like.size, doc[x + k])]))
+                count += like.size
+                if count > WINDOW * n:
+                    break
+        if count <= WINDOW * n:
+            got += own
+            held += count
+            if held >= _CHUNK:
+                a, b = np.concatenate(got, axis=1)
+                yield _rows(a=a, b=b)
+                got, held = [], 0
+            continue
+        blocks = -(-n // BLOCK)
+        for i in range(blocks):
+            part = slice(x + i * BLOCK, min(z, x + (i + 1) * BLOCK))
+            for j in range(blocks):
+                whole = [np.full(part.stop - part.start, v) for v in (bucket[x], i, min(i, j), max(i, j))]
+                yield _rows(a=doc[part], key=key[part], check=check[part], crowd=whole[0], block=whole[1], one=whole[2], two=whole[3])
+    if got:
+        a, b = np.concatenate(got, axis=1)
+        yield _rows(a=a, b=b)
+
+
+def _tile(ids: list[int], m: np.ndarray, blocks: np.ndarray, bodies: list[str], similar: float) -> Iterator[tuple[int, int]]:
+    """Links of a tile's records (in order of the id). A pair is left out only where it cannot be similar (at most so many runs in common by the presence maps), or where the later already reaches the earlier by links found."""
+    n, sets = len(ids), [shingles(t) for t in bodies]
+    size = np.array([h.size for h in sets], np.int64)
+    maps, reach = np.zeros((n, BITS // 64), np.uint64), np.zeros((n, (n + 7) // 8), np.uint8)
+    for k, h in enumerate(sets):
+        bits = np.zeros(BITS, np.uint8)
+        bits[(h % np.uint64(BITS)).astype(np.int64)] = 1
+        maps[k] = np.packbits(bits).view(np.uint64)
+    del sets
+    more = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
+    cross = blocks[0] != blocks[-1] or (blocks != blocks[0]).any()
+    for k in range(1, n):
+        like = _like(m, k, k)
+        if cross:
+            like = like[blocks[like] != blocks[k]]
+        while like.size:
+            some, like = like[-64:], like[:-64]  # the nearest first, they often reach the rest
+            both = np.bitwise_count(maps[some] & maps[k]).sum(1, dtype=np.int64) + np.minimum(more[some], more[k])
+            some = some[both * (1 + similar) >= similar * (size[some] + size[k]) - 1e-6]
+            linked = False
+            while some.size:
+                a, some = int(some[-1]), some[:-1]
+                if similarity(bodies[a], bodies[k]) >= similar:
+                    yield ids[a], ids[k]
+                    linked = True
+                    reach[k] |= reach[a]
+                    reach[k, a >> 3] |= 1 << (a & 7)
+                    some = some[(reach[k, some >> 3] >> (some & 7)) & 1 == 0]
+            if linked:
+                like = like[(reach[k, like >> 3] >> (like & 7)) & 1 == 0]
+
+
+def alike_in_crowds(records: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: links between the records of each crowded bucket, enough that every similar pair of it is linked, directly or down through others. records: those of crowded() with a crowd; bodies: id, body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: tuple | None = None
+        rows: list[tuple] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            ids, key, check, blocks, texts = zip(*rows, strict=True)
+            got = []
+            for pair in _tile(list(ids), _bytes(np.array(key), np.array(check)), np.array(blocks), list(texts), similar):
+                got.append(pair)
+                if len(got) == _CHUNK:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
+                    got = []
+            if got:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
+
+        for x in batches:
+            cols = [x.column(k).to_pylist() for k in range(8)]
+            for crowd, one, two, *row, body in zip(*cols, strict=True):
+                if tile != (crowd, one, two) and rows:
+                    yield from links()
+                    rows.clear()
+                tile = crowd, one, two
+                rows.append((*row, squeeze(body)))
+        if rows:
+            yield from links()
+
+    both = records.withColumnRenamed("a", "id").drop("b").join(bodies, "id").select("crowd", "one", "two", "id", "key", "check", "block", "body")
+    both = both.repartition("crowd", "one", "two").sortWithinPartitions("crowd", "one", "two", "id")
+    return both.mapInArrow(run, "a long, b long")
+
+
 # ------------------------------------------------------------------ verification and links
 def verified(pairs: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The pairs whose bodies are similar. bodies: id, body."""

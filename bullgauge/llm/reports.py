@@ -77,14 +77,16 @@ def repeats(spark: SparkSession, reports: DataFrame, batches: DataFrame) -> Data
     found = history.copies(keys)
     for n in numbers:
         found = found.unionByName(past.add(keys.filter(F.col("batch_no") == n)))
-    found = written(spark, found.distinct(), "pairs")
+    crowds = past.crowded()
+    few, crowds = crowds.filter("crowd IS NULL").select("a", "b", F.lit(history.NEAR).alias("key_no")), crowds.filter("crowd IS NOT NULL")
+    found = written(spark, found.unionByName(few).distinct(), "pairs")
 
     files = found.filter(F.col("key_no") == history.FILE).select("a", "b")
     md5 = rows.select("id", F.lower(F.trim("file_md5")).alias("m"))
     same = files.join(md5.select(F.col("id").alias("a"), F.col("m").alias("m_a")), "a").join(md5.select(F.col("id").alias("b"), F.col("m").alias("m_b")), "b").filter("m_a = m_b").select("a", "b")
 
     near = found.filter(F.col("key_no") != history.FILE).select("a", "b").distinct()
-    ids = written(spark, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = written(spark, near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowds.select(F.col("a").alias("id"))).distinct(), "ids")
     some = rows.filter("text IS NOT NULL").select("id", "text", "lines")
     some = some.join(F.broadcast(ids) if ids.count() <= history.MOST_IDS else ids, "id", "left_semi")
 
@@ -92,7 +94,10 @@ def repeats(spark: SparkSession, reports: DataFrame, batches: DataFrame) -> Data
         for b in got:
             yield pa.record_batch([b.column(0), pa.array(bodies(b, 1, 2), pa.string())], names=["id", "body"])
 
-    alike = history.verified(near, some.mapInArrow(body, "id long, body string"))
+    texts = some.mapInArrow(body, "id long, body string")
+    alike = history.verified(near, texts)
+    if not crowds.isEmpty():
+        alike = alike.unionByName(history.alike_in_crowds(crowds, texts))
     first = history.first_of_all(spark, same.unionByName(alike))
     late = rows.filter("batch_no >= 1").select(F.col("id").alias("b"))
     return first.join(late, "b", "left_semi")

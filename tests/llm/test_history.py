@@ -87,3 +87,71 @@ def test_short_bodies(body):
 def test_empty_batch(spark):
     df = spark.createDataFrame([], "id long, batch_no int, f string, body string")
     assert history.History(spark).add(history.keyed(df, lambda b: b.column(3).to_pylist())).count() == 0
+
+
+def test_dense_editions(spark):
+    """Editions of one note fill the buckets; every repeat that the keys bring into one bucket is found, with none lost behind nearer neighbours."""
+    rng = random.Random(8)
+    note = "".join(rng.choice(CHARS) for _ in range(400))
+    bodies = [variant(rng, note, 0.05) for _ in range(500)]
+    bodies += [variant(rng, rng.choice(bodies), 0.05) for _ in range(60)]
+    start = datetime(2026, 1, 1)
+    docs = [(i, start + timedelta(hours=i), f"m{i}", t, "ok", i % 25) for i, t in enumerate(bodies)]
+    df = spark.createDataFrame(docs, "id long, ingest_time timestamp_ntz, file_md5 string, parsed_text string, parse_status string, org_id long")
+    batches = spark.createDataFrame([(0, start, start + timedelta(hours=400)), (1, start + timedelta(hours=400), start + timedelta(hours=600))], "batch_no int, opened_at timestamp_ntz, closed_at timestamp_ntz")
+    got = {(r.a, r.b) for r in reports.repeats(spark, df, batches).collect()}
+    keys = [history.near_keys(history.shingles(t)).astype(">i8").view("u1").reshape(history.KEYS, 8) for t in bodies]
+    label = {}
+    for b in range(len(bodies)):
+        links = []
+        for a in range(b):
+            same = (keys[a][:, : history.PREFIX] == keys[b][:, : history.PREFIX]).all(1)
+            equal = (keys[a] == keys[b]).sum(1)
+            if any(same[k] and equal[k] + equal[(k + 1) % history.KEYS] >= history.PREFIX + history.REST for k in range(history.KEYS)) and history.similarity(bodies[a], bodies[b]) >= history.SIMILAR:
+                links.append(label.get(a, a))
+        if links:
+            label[b] = min(links)
+    want = {(a, b) for b, a in label.items() if b >= 400}
+    assert len(want) > 40 and got == want
+
+
+@pytest.mark.parametrize("block", [1000, 37])
+def test_tiles_of_a_crowd_against_all_pairs(spark, monkeypatch, block):
+    """Tiles of any size link what all pairs link."""
+    rng = random.Random(9)
+    note = "".join(rng.choice(CHARS) for _ in range(200))
+    bodies = [variant(rng, note, rng.choice([0.0, 0.02, 0.04, 0.06])) for _ in range(120)]
+    rows = [(i, 0 if i < 60 else 1, None, t) for i, t in enumerate(bodies)]
+    keys = history.keyed(spark.createDataFrame(rows, "id long, batch_no int, f string, body string"), lambda b: b.column(3).to_pylist()).cache()
+    h = history.History(spark)
+    for n in (0, 1):
+        h.add(keys.filter(F.col("batch_no") == n))
+    # the same bucket, cut into tiles here, as workers do not see a changed BLOCK
+    monkeypatch.setattr(history, "BLOCK", block)
+    got = pairs = 0
+    records = [b for r in range(h.ranges) if r >= history.NEAR for b in history._crowds(h.runs, r)]
+    frame = spark.createDataFrame([tuple(x.values()) for b in records for x in b.to_pylist()], history._CROWD)
+    crowds = frame.filter("crowd IS NOT NULL")
+    assert crowds.count()
+    texts = spark.createDataFrame([(i, t) for i, _, _, t in rows], "id long, body string")
+    links = history.alike_in_crowds(crowds, texts)
+    label = {r.b: r.a for r in history.first_of_all(spark, links).collect()}
+    direct = {(r.a, r.b) for r in links.collect()}
+    assert all(history.similarity(bodies[a], bodies[b]) >= history.SIMILAR for a, b in direct)
+    shared = {}
+    for r in crowds.collect():
+        shared.setdefault(r.crowd, {})[r.a] = (r.key.to_bytes(8, "big", signed=True), r.check.to_bytes(8, "big", signed=True))
+    below = {}
+    for a, b in direct:
+        below.setdefault(b, set()).add(a)
+    reach = {}
+    for k in range(len(bodies)):
+        reach[k] = set().union(*({a} | reach[a] for a in below.get(k, ())))
+    for members in shared.values():
+        for b in members:
+            for a in members:
+                same = sum(x == y for p, q in zip(members[a], members[b]) for x, y in zip(p, q))
+                if a < b and same >= history.PREFIX + history.REST and history.similarity(bodies[a], bodies[b]) >= history.SIMILAR:
+                    pairs += 1
+                    got += a in reach[b]
+    assert got == pairs > 100 and label
