@@ -179,13 +179,25 @@ def version_coexistence(spark, sf):
     return _index(spark, sf).groupBy("model_version", "calc_version", "level").agg(F.count("*").alias("rows"), F.countDistinct("trade_date").alias("days"))
 
 
-@_query
-def stance_matrix(spark, sf):
-    orgs = [r[0] for r in _t(spark, sf, "org").select("name").orderBy("id").limit(DEFAULT.max_matrix_orgs).collect()]  # a fixed table of houses
+def _matrix(spark, sf, most: int | None = None):
+    org = _t(spark, sf, "org").select("name").orderBy("id")
+    orgs = [r[0] for r in (org.limit(most) if most else org).collect()]  # a fixed table of houses
     out = levels.matrix(_votes(spark, sf), orgs)
     return out.select(*_KEY, "product_code", *(F.coalesce(F.col(f"`{o}`"), F.lit("")).alias(f"c{k}") for k, o in enumerate(orgs)))
 
 
+@_query
+def stance_matrix(spark, sf):
+    """The first 8 houses only, as its SQL is written; all of them: stance_matrix_all."""
+    return _matrix(spark, sf, DEFAULT.max_matrix_orgs)
+
+
+@_query
+def stance_matrix_all(spark, sf):
+    """Every house of org, c0, c1, ... in order of the id."""
+    return _matrix(spark, sf)
+
+
 # ------------------------------------------------------------------ trends
 @_query
 def index_dates(spark, sf):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bullgauge.operators import levels, trends, votes
+from bullgauge.plans import catalog
 
 COLS = "org_name string, product_code string, sector string, trade_date date, ingest_time timestamp_ntz, report_id long, segment_id long, direction double, confidence double, model_version string"
 
@@ -93,3 +94,15 @@ def test_latest_score_takes_each_version(spark):
     s = spark.createDataFrame([(1, 7, 1.0, "v1"), (1, 7, 1.0, "v1"), (2, 7, -1.0, "v1"), (3, 7, 2.0, "v2")], "id long, segment_id long, direction double, model_version string")
     assert {(r.model_version, r.id) for r in votes.latest_scores(s).collect()} == {("v1", 2), ("v2", 3)}
     assert votes.latest_scores(s, by_version=False).first().id == 3
+
+
+def test_matrix_of_all_houses(spark, sf):
+    """No product vote of any house is lost."""
+    queries = catalog.queries()
+    orgs = [r[0] for r in spark.read.parquet(f"{sf}/org.parquet").orderBy("id").select("name").collect()]
+    out = queries["stance_matrix_all"](spark, sf)
+    assert out.columns[3:] == [f"c{k}" for k in range(len(orgs))] and len(orgs) > 8
+    got = {(r.model_version, r.trade_date, r.product_code, orgs[k]): r[f"c{k}"] for r in out.collect() for k in range(len(orgs)) if r[f"c{k}"]}
+    sign = lambda d: "++" if d >= 1.5 else "+" if d > 0.25 else "--" if d <= -1.5 else "-" if d < -0.25 else "·"
+    votes_ = queries["vote_dedupe"](spark, sf).filter("product_code IS NOT NULL").collect()
+    assert got == {(v.model_version, v.trade_date, v.product_code, v.org_name): sign(v.direction) for v in votes_} and len({k[3] for k in got}) > 8
