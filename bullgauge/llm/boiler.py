@@ -2,9 +2,9 @@
 
 Method: the documents of each line are stored as compressed bitmaps per source: one container per
 (source, variant of a line, bucket of 65,536 ids), a sorted array while it is sparse, runs or a plain bitmap once that is
-smaller. The bitmaps of the variants that are one line after repair are united, their exact
-cardinalities are summed over the buckets and held against the threshold, and lines are deleted by a
-look-up of their document in the bitmap.
+smaller. The bitmaps of the variants that are one line after repair are united and their exact
+cardinalities are summed over the buckets. An exact count by (source, line) has decided on the threshold before, and
+lines are deleted by a join on the key of the bitmap, which holds their documents by construction.
 
 Skew: the buckets split a source with a third of all documents; counting is pre-aggregated
 before the shuffle; a container never holds more than 65,536 documents. Only lines that reach the
