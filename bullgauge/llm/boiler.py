@@ -1,15 +1,15 @@
 """Lines repeated across one source's documents: find them and take them out.
 
-Method: the documents of each line are stored as compressed bitmaps per source: one container per
-(source, variant of a line, bucket of 65,536 ids), a sorted array while it is sparse, runs or a plain bitmap once that is
-smaller. The bitmaps of the variants that are one line after repair are united and their exact
-cardinalities are summed over the buckets. An exact count by (source, line) has decided on the threshold before, and
-lines are deleted by a join on the key of the bitmap, which holds their documents by construction.
+Method: the documents of each line are kept as compressed bitmaps per source: one container per (source, line, variant of
+the line, bucket of 65,536 ids), a sorted array while it is sparse, runs or a plain bitmap once that is smaller. A variant is
+the line as stored, where repair changed it. Each task builds the containers of its own documents before the shuffle; the
+containers of one line are then united over tasks and variants, bucket by bucket. The exact cardinalities of these unions, and
+nothing else, are held against the thresholds. A line of a document is deleted if the document's low 16 bits are found in
+the container of (source, line, bucket).
 
-Skew: the buckets split a source with a third of all documents; counting is pre-aggregated
-before the shuffle; a container never holds more than 65,536 documents. Only lines that reach the
-threshold by count are made into bitmaps, at most (lines of a document / share) of them in a source.
-Their keys are broadcast where they are counted to be few, and shuffled else.
+Skew: a line of a third of all documents is a few containers per task and bucket when it is shuffled, at most 8 kB each; the
+look-up is spread by bucket, so a group never holds more than 65,536 documents. While a line's containers pass, only those of one bucket
+are in memory, or, until ``min_docs`` is reached, some of fewer than ``min_docs`` documents together.
 
 Defined results: null or blank texts and blank lines give no row; a source that is null has no lines;
 a line counts once per document; line numbers count line feeds in the stored text, from 0.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from bullgauge.llm.shared import small, written
 
 MIN_DOCS, MIN_SHARE = 5, 0.06
 _HALF = 1 << 63
+#: Lines of which a task makes containers at once.
+_ROUND = 500_000
 
 
 def _hash(s: str) -> int:
@@ -38,13 +41,13 @@ def _hash(s: str) -> int:
 
 
 def lines(docs: DataFrame, doc: str, source: str, text: str) -> DataFrame:
-    """doc, source, line_no, line (hash of the repaired form), variant (hash of the line as stored), first (of this line in the document) of every non-blank line."""
+    """doc, source, line_no, line (hash of the repaired form), variant (hash of the line as stored, where repair changed it) of every non-blank line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form: dict[str, int] = {}  # forms of lines seen in this task; cleared before it grows large
         for b in batches:
             ids, sources = (b.column(i).to_pylist() for i in (0, 1))
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for d, s, t in zip(ids, sources, b.column(2).to_pylist(), strict=True):
                 if not t:
                     continue
@@ -52,7 +55,6 @@ def lines(docs: DataFrame, doc: str, source: str, text: str) -> DataFrame:
                     form.clear()
                 new = repair.comparable(t)
                 raw = t.split("\n") if new is not t else None
-                seen = set()
                 for k, line in enumerate(new.split("\n")):
                     h = form.get(line)
                     if h is None:
@@ -67,15 +69,13 @@ def lines(docs: DataFrame, doc: str, source: str, text: str) -> DataFrame:
                     rows[2].append(k)
                     rows[3].append(h)
                     rows[4].append(h if raw is None or raw[k] == line else _hash(raw[k]))
-                    rows[5].append(h not in seen)
-                    seen.add(h)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc", "source", "line_no", "line", "variant", "first"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc", "source", "line_no", "line", "variant"])
 
     ready = docs.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("long"), F.col(source).cast("long"), text)
-    return ready.mapInArrow(run, "doc long, source long, line_no int, line long, variant long, first boolean")
+    return ready.mapInArrow(run, "doc long, source long, line_no int, line long, variant long")
 
 
-# ------------------------------------------------------------------ bitmaps
+# ------------------------------------------------------------------ containers
 def pack(low: np.ndarray) -> bytes:
     """Sorted distinct ids below 65,536 -> container: array, runs or bitmap, whichever is smallest."""
     low = low.astype("<u2")
@@ -109,71 +109,151 @@ def union(a: bytes, b: bytes) -> bytes:
     return pack(np.union1d(unpack(a), unpack(b)))
 
 
-def bitmaps(found: DataFrame) -> DataFrame:
-    """source, line, bucket, bitmap, cardinality from (doc, source, line, variant). A container per variant first, then their union."""
+def _arrays(low: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Array containers of consecutive groups of ids, all made at once."""
+    ends = np.cumsum(2 * size + 1)
+    data = np.full(int(ends[-1]) if ends.size else 0, ord("A"), np.uint8)
+    body = np.ones(data.size, bool)
+    body[np.r_[0, ends[:-1]] if ends.size else ends] = False
+    data[body] = low.astype("<u2").view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), size.size, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+_PART = pa.schema([("source", pa.int64()), ("line", pa.int64()), ("variant", pa.int64()), ("bucket", pa.int64()), ("bitmap", pa.binary()), ("cardinality", pa.int32())])
+
+
+def _containers(doc: np.ndarray, source: np.ndarray, line: np.ndarray, variant: np.ndarray) -> Iterator[pa.RecordBatch]:
+    bucket, low = doc >> 16, (doc & 65_535).astype(np.uint16)
+    order = np.lexsort((low, bucket, variant, line, source))
+    keys, low = [c[order] for c in (source, line, variant, bucket)], low[order]
+    begins = np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0)]
+    once = begins | np.r_[True, low[1:] != low[:-1]]  # a document that has the line twice counts once
+    keys, low, begins = [c[once] for c in keys], low[once], begins[once]
+    starts = np.flatnonzero(begins)
+    size = np.diff(np.r_[starts, low.size])
+    few = size <= 16
+    yield pa.record_batch([*(pa.array(c[starts[few]]) for c in keys), _arrays(low[np.repeat(few, size)], size[few]), pa.array(size[few].astype(np.int32))], schema=_PART)
+    many = np.flatnonzero(~few)
+    packed = [pack(low[starts[k] : starts[k] + size[k]]) for k in many]
+    yield pa.record_batch([*(pa.array(c[starts[many]]) for c in keys), pa.array(packed, pa.binary()), pa.array(size[many].astype(np.int32))], schema=_PART)
+
+
+def partial(found: DataFrame) -> DataFrame:
+    """source, line, variant, bucket, bitmap, cardinality: the containers of each task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, low, variants, out = None, [], {}, []
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            held.append([b.column(i).to_numpy() for i in range(4)])
+            if sum(h[0].size for h in held) >= _ROUND:
+                yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
+        if sum(h[0].size for h in held):
+            yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
+
+    return found.select("doc", "source", "line", "variant").mapInArrow(run, "source long, line long, variant long, bucket long, bitmap binary, cardinality int")
+
+
+_WHOLE = pa.schema([("source", pa.int64()), ("line", pa.int64()), ("bucket", pa.int64()), ("bitmap", pa.binary()), ("cardinality", pa.int64()), ("variants", pa.int32())])
 
-        def close_variant() -> None:
-            if low:
-                variants[key[3]] = pack(np.unique(np.concatenate(low)))
-                low.clear()
 
-        def close() -> None:
+def united(parts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """source, line, bucket, bitmap, cardinality, variants of the lines whose united bitmaps hold at least ``min_docs`` documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line: tuple[int, int] | None = None
+        bucket, total = 0, 0
+        variants: dict[int, bytes] = {}
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def close_bucket() -> None:
+            nonlocal total
             if variants:
-                every = list(variants.values())
-                whole = every[0]
-                for c in every[1:]:
-                    whole = union(whole, c)
-                out.append((*key[:3], whole, int(unpack(whole).size), len(every)))
+                whole = reduce(union, variants.values())
+                n = int(unpack(whole).size)
+                held.append((*line, bucket, whole, n, len(variants)))
+                total += n
                 variants.clear()
+            if total >= min_docs:
+                out.extend(held)
+                held.clear()
+
+        def close_line() -> None:
+            nonlocal total
+            close_bucket()
+            held.clear()
+            total = 0
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [()] * 6
             out.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["source", "line", "bucket", "bitmap", "cardinality", "variants"])
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _WHOLE, strict=True)], schema=_WHOLE)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-            for a, z in zip(np.r_[0, ends], np.r_[ends, b.num_rows], strict=True):
-                k = tuple(int(c[a]) for c in cols[:4])
-                if key is not None and k != key:
-                    close_variant()
-                    if k[:3] != key[:3]:
-                        close()
-                key = k
-                low.append(cols[4][a:z].astype(np.uint16))
+            source, text, variant, at = (b.column(i).to_numpy() for i in range(4))
+            begins = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (text[1:] != text[:-1])])
+            most = np.add.reduceat(b.column(5).to_numpy().astype(np.int64), begins)  # the union holds no more than its parts
+            most[[0, -1]] = min_docs  # lines that go on in another batch
+            bitmaps = b.column(4)
+            for a, z in zip(begins[most >= min_docs], np.r_[begins[1:], b.num_rows][most >= min_docs], strict=True):
+                if line != (int(source[a]), int(text[a])):
+                    close_line()
+                    line = int(source[a]), int(text[a])
+                for k in range(a, z):
+                    if variants and bucket != at[k]:
+                        close_bucket()
+                    bucket, v, c = int(at[k]), int(variant[k]), bitmaps[k].as_py()
+                    variants[v] = union(variants[v], c) if v in variants else c
             yield flush()
-        close_variant()
-        close()
+        close_line()
         yield flush()
 
-    rows = found.select("source", "line", F.shiftrightunsigned("doc", 16).alias("bucket"), "variant", F.col("doc").bitwiseAND(65_535).cast("int").alias("low"))
-    rows = rows.repartition("source", "line", "bucket").sortWithinPartitions("source", "line", "bucket", "variant")
+    rows = parts.repartition("source", "line").sortWithinPartitions("source", "line", "bucket", "variant")
     return rows.mapInArrow(run, "source long, line long, bucket long, bitmap binary, cardinality long, variants int")
 
 
 def repeated(found: DataFrame, docs_per_source: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """source, line, docs, bitmaps (bucket -> container) of the lines that stand in at least ``min_docs`` documents of their source and in at least ``min_share`` of them."""
-    enough = F.greatest(F.lit(float(min_docs)), F.col("n") * min_share - 1e-9)
-    counted = found.filter("first").groupBy("source", "line").agg(F.count("*").alias("c")).filter(F.col("c") >= min_docs)
+    """source, line, bucket, bitmap, docs, variants: the containers of the lines whose united bitmaps hold at least ``min_docs`` documents of their source and at least ``min_share`` of them."""
     spark = found.sparkSession
-    often = counted.join(small(spark, docs_per_source, "sources"), "source").filter(F.col("c") >= enough).select("source", "line", "n")
-    often = small(spark, often, "often")
-    maps = bitmaps(found.join(often, ["source", "line"], "left_semi"))
-    whole = maps.groupBy("source", "line").agg(F.sum("cardinality").alias("docs"), F.max("variants").alias("variants"), F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("bitmaps"))
-    return whole.join(often, ["source", "line"]).filter(F.col("docs") >= enough).drop("n")
+    maps = written(spark, united(partial(found), min_docs), "bitmaps")
+    docs = maps.groupBy("source", "line").agg(F.sum("cardinality").alias("docs"), F.max("variants").alias("variants"))
+    enough = F.greatest(F.lit(float(min_docs)), F.col("n") * min_share - 1e-9)
+    often = docs.join(small(spark, docs_per_source, "sources"), "source").filter(F.col("docs") >= enough).drop("n")
+    return maps.select("source", "line", "bucket", "bitmap").join(small(spark, often, "often"), ["source", "line"])
 
 
 def places(found: DataFrame, lines_: DataFrame) -> DataFrame:
-    """doc, line_no of every place of a repeated line: the bitmap of (source, line, bucket) holds the document by construction, so the look-up is a join on its key."""
-    keys = lines_.select("source", "line", F.explode("bitmaps").alias("bucket", "bitmap")).select("source", "line", "bucket")
-    at = found.withColumn("bucket", F.shiftrightunsigned("doc", 16))
-    return at.join(small(found.sparkSession, keys, "keys"), ["source", "line", "bucket"], "left_semi").select("doc", "line_no")
+    """doc, line_no of every place of a repeated line, by look-up of the document in the bitmap of (source, line, bucket)."""
+    group = ["source", "line", "bucket"]
+    maps = written(found.sparkSession, lines_.select(*group, "bitmap"), "maps")
+    at = found.select("source", "line", F.shiftrightunsigned("doc", 16).alias("bucket"), "doc", "line_no")
+    at = at.join(small(found.sparkSession, maps.select(*group), "keys"), group, "left_semi")  # those for which there is a bitmap at all
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, np.zeros(65_536, bool)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(i).to_numpy() for i in range(3)]
+            doc = b.column(3).fill_null(-1).to_numpy()
+            hit = np.zeros(doc.size, bool)
+            begins = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0)])
+            for a, z in zip(begins, np.r_[begins[1:], doc.size], strict=True):
+                if key != (own := tuple(int(c[a]) for c in keys)):
+                    key = own
+                    held[:] = False
+                if (c := b.column(5)[a].as_py()) is not None:  # the bitmap comes before its documents
+                    held[unpack(c)] = True
+                hit[a:z] = (doc[a:z] >= 0) & held[doc[a:z] & 65_535]
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4)], names=["doc", "line_no"]).filter(pa.array(hit))
+
+    none = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("int").alias("line_no")]
+    both = maps.select(*group, *none, "bitmap").unionByName(at.withColumn("bitmap", F.lit(None).cast("binary")))
+    both = both.repartition(*group).sortWithinPartitions(*group, F.col("bitmap").isNull())
+    return both.mapInArrow(run, "doc long, line_no int")
 
 
 def without(docs: DataFrame, doc: str, text: str, at: DataFrame) -> DataFrame:
@@ -184,7 +264,7 @@ def without(docs: DataFrame, doc: str, text: str, at: DataFrame) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, reports: DataFrame) -> DataFrame:
-    """The lines of the readable reports, written once to the shared folder as three passes read them."""
+    """The lines of the readable reports, written once to the shared folder as two passes read them."""
     return written(spark, lines(reports.filter("parse_status = 'ok'"), "id", "org_id", "parsed_text"), "lines")
 
 

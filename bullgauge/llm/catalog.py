@@ -40,7 +40,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The repeated lines of each house, by hash, with the exact number of their reports."""
     _, lines = _repeated(spark, sf)
-    return lines.select(F.col("source").alias("org_id"), F.col("line").alias("line_hash"), "docs", "variants")
+    return lines.select(F.col("source").alias("org_id"), F.col("line").alias("line_hash"), "docs", "variants").distinct()  # a row for each bucket
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,8 +51,7 @@ def repaired(reports: DataFrame, batches: DataFrame) -> DataFrame:
 def house_lines(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """line: the lines that any house prints on note after note."""
     places = rows.filter("source IS NOT NULL").select(F.col("id").alias("doc"), "source", F.explode(F.array_distinct("lines")).alias("line")).filter("line != 0")
-    found = places.withColumn("variant", F.col("line")).withColumn("first", F.lit(True))
-    return boiler.repeated(found, sources).select("line").distinct()
+    return boiler.repeated(places.withColumn("variant", F.col("line")), sources).select("line").distinct()
 
 
 def repeats(spark: SparkSession, reports: DataFrame, batches: DataFrame) -> DataFrame:
