@@ -75,7 +75,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ 5
 def _views(spark: SparkSession, sf: str) -> DataFrame:
     texts = _readable(spark, sf).select(F.lit("report").alias("table_name"), F.col("id").alias("row_id"), F.col("parsed_text").alias("text"))
-    segments = _table(spark, sf, "segment").select(F.lit("segment").alias("table_name"), F.col("id").alias("row_id"), F.col("raw_text").alias("text"))
+    segments = _texts(spark, sf, "segment").select(F.lit("segment").alias("table_name"), F.col("id").alias("row_id"), F.col("raw_text").alias("text"))
     return texts.unionByName(segments)
 
 

@@ -1,6 +1,6 @@
 """Texts that look alike but differ in their characters -> one form.
 
-Method: the pieces of a text (runs between punctuation) that hold an odd character are mapped by
+Method: the pieces of a text (runs between punctuation, or phrases around words of another alphabet) that hold an odd character are mapped by
 look-alike tables in SQL; mapped values that are equal under the accent-sensitive Unicode collation
 form a class (the collation sees through zero-width characters and composes accents); each class has
 one deterministic canonical member, which is joined back to every piece of the class.
@@ -10,6 +10,10 @@ letter with a separate combining accent; invisible characters; spaces other than
 words with letters of another alphabet. Chinese punctuation, composed accents, line ends, circled
 numbers, units and words of other scripts stay.
 
+Letters of another alphabet are judged word by word. A word is Latin if all its foreign letters look like Latin ones and
+it has a Latin letter too, or is a known code (``CODES``), or stands beside a Latin word and not beside a
+word that is really foreign. So real words of other languages stay, even those made of look-alikes only.
+
 Defined results: null stays null and is no case; empty stays empty; a text without odd characters is
 returned unchanged; equal pieces always get the same canonical member, whatever the row order.
 """
@@ -20,17 +24,36 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from bullgauge import lexicon
 from bullgauge.llm.shared import written
 
 WIDE_SIGNS = "％＋．"
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Letters of the Cyrillic and Greek alphabets that look like a Latin letter: fixed values of their shapes.
-ALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеоорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυικρ", "ABESIJKMHOPCTYXaeoopcyxijshdqwABEZHIKMNOPTYXovuikp", strict=True))
+SHAPES = dict(zip("АВЕЅІЈКМНОРСТУХаеоорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυικρ", "ABESIJKMHOPCTYXaeoopcyxijshdqwABEZHIKMNOPTYXovuikp", strict=True))
+
+
+def _alphabets() -> dict[str, str]:
+    """SHAPES and, by the rule of canonical decomposition, the letters made of one of them and accents."""
+    out = dict(SHAPES)
+    for c in map(chr, [*range(0x370, 0x400), *range(0x400, 0x530)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in SHAPES:
+            x = unicodedata.normalize("NFC", SHAPES[base] + "".join(marks))
+            if len(x) == 1:
+                out[c] = x
+    return out
+
+
+ALIKE = _alphabets()
+#: Codes of products: a word of look-alikes alone that spells one is that code.
+CODES = tuple(sorted({a for p in lexicon.PRODUCTS for a in (p.code, *p.aliases) if a.isascii() and len(a) > 1}))
 _FOREIGN = "Ͱ-ϿЀ-ԯ"
 #: Blocks of compatibility forms: radicals, ideographs, ligatures, half-width kana, mathematical letters.
 BLOCKS = ((0x2E80, 0x2FD5), (0xF900, 0xFAD9), (0xFB00, 0xFB06), (0xFF66, 0xFF9F), (0x1D400, 0x1D7FF), (0x2F800, 0x2FA1D))
@@ -57,14 +80,10 @@ ODD = (
     f"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u2e80-\u2fd5\uf900-\ufad9\ufb00-\ufb06\uff66-\uff9f"
 )
 _ODD = re.compile(f"[{ODD}\U0001d400-\U0001d7ff\U0002f800-\U0002fa1d]")
-_MIXED = re.compile(f"[A-Za-z{_FOREIGN}]*[{_FOREIGN}][A-Za-z{_FOREIGN}]*")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _FOREIGN_RE = re.compile(f"[{_FOREIGN}]")
-
-
-def _latin(m: re.Match) -> str:
-    word = m[0]
-    mapped = word.translate(_alike())
-    return mapped if mapped.isascii() and len(word) > 1 else word
+#: Words of one phrase: one Latin word, words with foreign letters, one Latin word, each after a space.
+_PHRASE = re.compile(f"(?:(?<![{_LATIN}{_FOREIGN}])[{_LATIN}]{{1,40}} )?(?:[{_LATIN}]*[{_FOREIGN}][{_LATIN}{_FOREIGN}]*)(?: [{_LATIN}]*[{_FOREIGN}][{_LATIN}{_FOREIGN}]*)*(?: [{_LATIN}]{{1,40}})?")
 
 
 @lru_cache(1)
@@ -72,6 +91,24 @@ def _alike() -> dict[int, str]:
     return str.maketrans(ALIKE)
 
 
+def _is_latin(c: str) -> bool:
+    return c < "\u0250"
+
+
+def _latin(m: re.Match) -> str:
+    """The phrase with its Latin words in Latin letters: word by word, by their letters and their neighbours."""
+    words = m[0].split(" ")
+    latin = [any(map(_is_latin, w)) for w in words]
+    other = [any(not _is_latin(c) and c not in ALIKE for c in w) for w in words]
+    out = []
+    for k, w in enumerate(words):
+        new = w.translate(_alike())
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(words)]
+        beside = any(latin[j] for j in near) and not any(other[j] for j in near)
+        out.append(new if len(w) > 1 and not other[k] and (latin[k] or new in CODES or beside) else w)
+    return " ".join(out)
+
+
 def fold(text: str) -> str:
     """One text in its ordinary form, without a look at others (for comparing texts line by line)."""
     if text.isascii():
@@ -79,7 +116,7 @@ def fold(text: str) -> str:
     if _ODD.search(text):
         text = unicodedata.normalize("NFC", text.translate(_python_table()))
     if _FOREIGN_RE.search(text):
-        text = _MIXED.sub(_latin, text)
+        text = _PHRASE.sub(_latin, text)
     return text
 
 
@@ -92,11 +129,19 @@ def _java(chars: str) -> str:
 _SUP = "\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1d}"
 ODD_JAVA = f"[{_java(ODD)}{_SUP}]"
 FOREIGN_JAVA = f"[{_java(_FOREIGN)}]"
-ALIKE_JAVA = f"[{''.join(f'\\x{{{ord(c):x}}}' for c in ALIKE)}A-Za-z]"
+_LATIN_JAVA = f"{_java(_LATIN)}"
+ALIKE_JAVA = f"[{''.join(f'\\x{{{ord(c):x}}}' for c in ALIKE)}{_LATIN_JAVA}]"
 #: A word of at least two letters that are all Latin or like Latin, one of them of another alphabet.
-MIXED_JAVA = f"(?<![A-Za-z{_java(_FOREIGN)}])(?={ALIKE_JAVA}{{2}})(?=[A-Za-z]*{FOREIGN_JAVA}){ALIKE_JAVA}+(?![A-Za-z{_java(_FOREIGN)}])"
+MIXED_JAVA = f"(?<![{_LATIN_JAVA}{_java(_FOREIGN)}])(?={ALIKE_JAVA}{{2}})(?=[{_LATIN_JAVA}]*{FOREIGN_JAVA}){ALIKE_JAVA}+(?![{_LATIN_JAVA}{_java(_FOREIGN)}])"
 BREAKS = " \n\r\t，。：；、！？（）【】《》“”「」«»,:;!?()\\[\\]|"
-PIECES = f"[^{BREAKS}]+|[{BREAKS}]+"
+#: Letters of a word before it is mapped: full-width and mathematical ones, accents and invisible characters may stand in it.
+_LETTERS = f"{_LATIN_JAVA}{_java('Ａ-Ｚａ-ｚ')}\\x{{300}}-\\x{{36f}}\\x{{1d400}}-\\x{{1d7ff}}"
+_WORD = f"{_LETTERS}{_java(INVISIBLE)}"
+_ANY = f"[{_WORD}{_java(_FOREIGN)}]"
+_OTHER = f"[{_WORD}]*+{FOREIGN_JAVA}{_ANY}*+"
+_GAP = f"[ {_java(SPACES)}]"
+PHRASE = f"(?:(?<!{_ANY})[{_WORD}]{{1,40}}+{_GAP})?{_OTHER}(?:{_GAP}{_OTHER})*(?:{_GAP}[{_WORD}]{{1,40}}+(?!{_ANY}))?"
+PIECES = f"{PHRASE}|[{_LETTERS}][{_WORD}]*|[^{BREAKS}{_java(_FOREIGN)}{_LETTERS}]+|[{BREAKS}]+"
 
 
 def _visible(text):
@@ -109,20 +154,42 @@ def odd_rows(texts: DataFrame, text: str) -> DataFrame:
     return texts.filter(F.col(text).rlike(ODD_JAVA) | F.col(text).rlike(FOREIGN_JAVA) & F.col(text).rlike(MIXED_JAVA))
 
 
-def mapped(piece):
+def _latin_words(x: Column) -> Column:
+    """``_latin`` in SQL: words and gaps in turn, each word with its neighbours two places on."""
+    keys, values = "".join(ALIKE), "".join(ALIKE.values())
+    word = f"[{_LATIN_JAVA}{_java(_FOREIGN)}]+"
+    parts = F.regexp_extract_all(x, F.lit(f"({word}|[^{_LATIN_JAVA}{_java(_FOREIGN)}]+)"), 1)
+    codes = F.array(*map(F.lit, CODES))
+    latin = lambda w: w.rlike(f"[{_LATIN_JAVA}]")
+    other = lambda w: w.rlike(f"(?![{''.join(f'\\x{{{ord(c):x}}}' for c in ALIKE)}]){FOREIGN_JAVA}")
+
+    def turn(ws: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            # beside: the gap between is one space
+            before, after = (F.coalesce(F.when(F.get(ws, i + k) == " ", F.get(ws, i + 2 * k)), F.lit("")) for k in (-1, 1))
+            beside = (latin(before) | latin(after)) & ~other(before) & ~other(after)
+            new = F.translate(w, keys, values)
+            own = w.rlike(FOREIGN_JAVA) & (F.length(w) > 1) & ~other(w)
+            return F.when(own & (latin(w) | F.array_contains(codes, new) | beside), new).otherwise(w)
+
+        return F.array_join(F.transform(ws, one), "")
+
+    return F.get(F.transform(F.array(parts), turn), F.lit(0))
+
+
+def mapped(piece: Column) -> Column:
     """Look-alike mapping of a piece: spaces, single-letter compatibility forms, ligatures, letters of other alphabets inside Latin words."""
     single = {k: v for k, v in compatibility().items() if len(v) == 1}
     x = F.translate(_visible(piece), "".join(single) + SPACES, "".join(single.values()) + " " * len(SPACES))
     for k, v in compatibility().items():
         if len(v) > 1 and 0xFB00 <= ord(k) <= 0xFB06:
             x = F.replace(x, F.lit(k), F.lit(v))
-    keys, values = "".join(ALIKE), "".join(ALIKE.values())
-    return F.when(x.rlike(MIXED_JAVA), F.translate(x, keys, values)).otherwise(x)
+    return F.when(x.rlike(FOREIGN_JAVA), _latin_words(x)).otherwise(x)
 
 
-@F.udf(StringType(), useArrow=True)
-def _composed(text: str) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text) if any(c in compatibility() for c in text) else text)
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFKC", t) if any(c in compatibility() for c in t) else t))
 
 
 def odd_pieces(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -147,9 +214,18 @@ def unify(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, text in one form, changed (whether it differs) of the rows that may be odd; all other rows are in that form already."""
     rows = odd_rows(texts, text)
     pieces = written(texts.sparkSession, odd_pieces(rows, keys, text), "pieces")
-    to = pieces.join(canonical_members(pieces), "piece").groupBy(*keys).agg(F.map_from_entries(F.array_agg(F.struct("pos", "canonical"))).alias("to"))
+    # of each text the positions of its odd pieces in order and what stands there instead
+    to = pieces.join(canonical_members(pieces), "piece").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "canonical"))).alias("to"))
     every = F.regexp_extract_all(text, F.lit(f"({PIECES})"), 1)
-    out = rows.join(to, keys, "left").withColumn("__new", F.when(F.col("to").isNull(), F.col(text)).otherwise(F.array_join(F.transform(every, lambda x, i: F.coalesce(F.try_element_at("to", i), x)), "")))
+
+    def upto(t: Column, i: Column) -> Column:
+        """What stands between the odd piece before and this one, and this one's canonical member."""
+        begin = F.coalesce(F.get(F.col("to"), i - 1)["pos"] + 1, F.lit(0))
+        return F.concat(F.array_join(F.slice("every", begin + 1, t["pos"] - begin), ""), t["canonical"])
+
+    rest = F.array_join(F.slice("every", F.get(F.col("to"), F.size("to") - 1)["pos"] + 2, F.size("every")), "")
+    new = F.concat(F.array_join(F.transform("to", upto), ""), rest)
+    out = rows.join(to, keys, "left").withColumn("every", every).withColumn("__new", F.when(F.col("to").isNull(), F.col(text)).otherwise(new))
     out = out.withColumn("__new", F.translate("__new", SPACES + INVISIBLE, " " * len(SPACES)))
     return out.select(*keys, F.col("__new").alias("unified"), (F.col("__new") != F.col(text)).alias("changed"))
 
@@ -158,5 +234,3 @@ def found(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys of the texts with at least one piece that is not its class's canonical member."""
     pieces = written(texts.sparkSession, odd_pieces(odd_rows(texts, text), keys, text), "pieces")  # read twice; cutting texts is the costly part
     return pieces.join(canonical_members(pieces), "piece").filter(F.col("piece") != F.col("canonical")).select(*keys).distinct()
-
-

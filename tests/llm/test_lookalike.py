@@ -34,3 +34,18 @@ def test_equal_looking_texts_become_equal(spark):
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "id long, text string")
     assert L.found(df, ["id"], "text").count() == 0
+
+
+WORDS = {
+    "Сorrect报价Москва上涨": "Correct报价Москва上涨", "Cu-Рrice/Привет": "Cu-Price/Привет", "高价ΡΤΑ的": "高价PTA的", "warranty.\nΝο part of": "warranty.\nNo part of", "Brӓnnvіk was": "Brännvik was", "与PVС价差": "与PVC价差", "Valdériа矿区": "Valdéria矿区", "has yet tο price": "has yet to price",
+}
+FOREIGN = ["цены на сахар", "«сахар»", "Привет сахар тест", "Москва", "МОСКВА", "Ѕ", "ρ"]
+
+
+def test_word_by_word(spark):
+    """A word is mapped by its own letters and neighbours; real words of other languages stay, those of look-alikes only too."""
+    assert {t: L.fold(t) for t in WORDS} == WORDS and [L.fold(t) for t in FOREIGN] == FOREIGN
+    df = spark.createDataFrame(list(enumerate([*WORDS, *FOREIGN])), "id long, text string")
+    assert {r.id for r in L.found(df, ["id"], "text").collect()} == set(range(len(WORDS)))
+    new = {r.id: r.unified for r in L.unify(df, ["id"], "text").collect()}
+    assert [new.get(k, t) for k, t in enumerate([*WORDS, *FOREIGN])] == [*WORDS.values(), *FOREIGN]
