@@ -1,13 +1,17 @@
 """Text decoded with the wrong character encoding: find the spans and restore them.
 
-Method: the garbled sequence of every character of a reference vocabulary (GB 2312, the
-punctuation of Chinese print, accented Latin letters) is precomputed for every encoding pair
-(written in -> read as). One multi-pattern automaton finds these sequences in a line; only pairs
+Method: the garbled sequence of every character of a reference vocabulary (the characters of GB 2312, of the first level of Big5, of
+JIS and KS X 1001 syllables, letters of further scripts, signs of print) is precomputed for every encoding pair
+(written in -> read as) of ``PAIRS``. One multi-pattern automaton finds these sequences in a line; only pairs
 that the automaton reports are tried, and only the spans around its hits are decoded again. Text
 outside these spans stays as it is.
 
-Pairs whose sequences depend on the neighbouring character (UTF-8 read as GBK shares a byte between
-two characters) are held as byte classes: the same automaton, over a smaller alphabet.
+UTF-8 read as GBK shares a byte between two characters: there a sequence is a character's first two bytes and its last one with each
+possible first byte of the next. Where both codes have two bytes a character, a sequence is one character, taken if ordinary
+text lacks it. A byte that UTF-8 could not read is U+FFFD, a sequence of its own.
+
+A span is restored only if the restored text, written and read again in the same way, gives the span. Of several pairs
+that fit, the one with the more ordinary text wins.
 
 Defined results: a null text gives a null text and no case; an empty text stays empty; text without
 a garbled sequence is returned as the same object; a byte that the wrong decoder threw away becomes
@@ -17,6 +21,7 @@ U+FFFD unless only one value of it is possible.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import ahocorasick
@@ -37,10 +42,29 @@ def common_han() -> frozenset[str]:
     return frozenset(_gb2312(0xB0, 0xD7))
 
 
+def _rows(codec: str, first: int, last: int, trail: range) -> str:
+    return "".join(bytes([a, b]).decode(codec, "ignore") for a in range(first, last + 1) for b in trail)
+
+
+@lru_cache(1)
+def traditional() -> frozenset[str]:
+    """Level 1 of Big5: the everyday traditional characters."""
+    return frozenset(c for c in _rows("big5", 0xA4, 0xC6, range(0x40, 0xFF)) if c >= "\u3400")
+
+
+@lru_cache(1)
+def other_scripts() -> frozenset[str]:
+    """Kana and Hangul of the Japanese and Korean codes, and the letters of alphabets that have a code page."""
+    kana = _rows("euc_jp", 0xA4, 0xA5, range(0xA1, 0xFF))
+    hangul = _rows("euc_kr", 0xB0, 0xC8, range(0xA1, 0xFF))
+    letters = "".join(bytes(range(0x80, 0x100)).decode(c, "ignore") for c in ("cp1251", "cp1253", "cp1255", "cp1256", "cp874", "cp1250", "cp1258"))
+    return frozenset(c for c in kana + hangul + letters if c.isalpha() and c >= "\u0100")
+
+
 @lru_cache(1)
 def vocabulary() -> frozenset[str]:
-    """Every character that a restored span may hold."""
-    return frozenset(_gb2312(0xB0, 0xF7)) | frozenset(PUNCT + LATIN + SIGNS + "璟镕堃喆玥珺琤龘靐の") | frozenset(_gb2312(0xA1, 0xA3))
+    """The characters of Chinese print."""
+    return frozenset(_gb2312(0xB0, 0xF7)) | frozenset(PUNCT + LATIN + SIGNS) | frozenset(_gb2312(0xA1, 0xA3))
 
 
 def _single_byte(codec: str) -> dict[int, str]:
@@ -54,13 +78,14 @@ def _single_byte(codec: str) -> dict[int, str]:
     return table
 
 
+SINGLE = ("cp1252", "cp1251", "cp437", "koi8_r")
+
+
 @lru_cache(1)
 def _tables() -> dict[str, dict[int, str]]:
     latin = {c: chr(c) for c in range(0x80, 0x100)}
-    return {
-        "cp1252": latin | _single_byte("cp1252"),
-        "cp1251": {c: chr(c) for c in range(0x80, 0xA0)} | _single_byte("cp1251") | {0x98: "\x98"},
-    }
+    controls = {c: chr(c) for c in range(0x80, 0xA0)}
+    return {"cp1252": latin | _single_byte("cp1252"), "cp1251": controls | _single_byte("cp1251") | {0x98: "\x98"}, "cp437": _single_byte("cp437"), "koi8_r": _single_byte("koi8_r")}
 
 
 @lru_cache(4)
@@ -78,9 +103,10 @@ def _double_byte(codec: str) -> dict[str, str]:
 #: (written in, read as); the order settles ties.
 PAIRS = [
     ("utf-8", "cp1252"), ("utf-8", "cp1251"), ("utf-8", "gbk"), ("gbk", "cp1252"), ("gbk", "big5"), ("big5", "gbk"), ("big5", "cp1252"), ("gbk", "utf-8"),
+    ("utf-8", "cp437"), ("utf-8", "koi8_r"), ("gbk", "cp1251"), ("big5", "cp1251"), ("gbk", "cp437"),
 ]
 
-_UTF8 = r"(?:[\xe2-\xe9\xef](?:[\x80-\xbf]|�){2}|[\xc2-\xcb][\x80-\xbf�]|\xf0[\x90-\xbf][\x80-\xbf]{2})"
+_UTF8 = r"(?:[\xe0-\xef](?:[\x80-\xbf]|�){2}|[\xc2-\xdf][\x80-\xbf�]|[\xf0-\xf4][\x80-\xbf]{3})"
 _SPAN = {
     "utf-8": re.compile(_UTF8 + r"(?:[\xa0 ]?" + _UTF8 + r")*(?:[\xe2-\xe9\xef](?:[\x80-\xbf�]|$))?"),
     "gbk": re.compile(r"(?:[\x81-\xfe�](?:[\xa1-\xfe]|[\x40-\x7e\x80-\xa0�](?=[\xa1-\xfe]|$)))+"),
@@ -130,15 +156,15 @@ def _read(raw: str, written: str) -> str:
 def _sequences() -> dict[str, set[tuple[str, str]]]:
     """Garbled sequence -> the pairs that give it."""
     found: dict[str, set[tuple[str, str]]] = {}
-    words = sorted(vocabulary())
     for written, read in PAIRS:
-        if read in ("gbk", "utf-8", "big5"):
+        if read not in SINGLE:
             continue
         tables = [{v: chr(k) for k, v in _tables()[read].items()}]
         if read == "cp1252":  # read as Latin-1, all of it C1 controls, or as the code page
             tables = [{chr(c): chr(c) for c in range(0x80, 0x100)}, {v: chr(k) for k, v in _single_byte("cp1252").items()}]
+        words = vocabulary() | (traditional() if written != "gbk" else frozenset()) | (other_scripts() if written == "utf-8" else frozenset())
         for c in words:
-            if (c in LATIN or c in SIGNS) and (written == "big5" or read == "cp437" or c in SIGNS and c not in PUNCT and written != "utf-8"):
+            if (c in LATIN or c in SIGNS) and (written == "big5" or read in ("cp437", "koi8_r") or c in SIGNS and c not in PUNCT and written != "utf-8"):
                 continue
             try:
                 raw = c.encode(written).decode("latin-1")
@@ -147,11 +173,39 @@ def _sequences() -> dict[str, set[tuple[str, str]]]:
             if len(raw) < 2:
                 continue
             for t in tables:
-                g = "".join(t.get(b, b) for b in raw)
-                found.setdefault(g, set()).add((written, read))
+                found.setdefault("".join(t.get(b, b) for b in raw), set()).add((written, read))
+    # UTF-8 read as GBK: two bytes of a character, then its last byte and the first of what follows
+    two = {v: k for k, v in _double_byte("gbk").items()}
+    nexts = [chr(b) for b in (*range(0xE2, 0xEA), 0xEF)]
+    for c in vocabulary() | traditional():
+        raw = c.encode("utf-8").decode("latin-1")
+        if len(raw) == 3 and (head := two.get(raw[:2])):
+            for n in nexts:
+                if tail := two.get(raw[2] + n):
+                    found.setdefault(head + tail, set()).add(("utf-8", "gbk"))
+            found.setdefault(head + LOST, set()).add(("utf-8", "gbk"))
+    # one two-byte code read as the other: characters that ordinary text lacks
+    for c in _odd("big5", "gbk"):
+        found.setdefault(c, set()).add(("gbk", "big5"))
+    for c in _odd("gbk", "big5"):
+        found.setdefault(c, set()).add(("big5", "gbk"))
+    found.setdefault(LOST, set()).add(("gbk", "utf-8"))
     return found
 
 
+@lru_cache(2)
+def _odd(read: str, written: str) -> frozenset[str]:
+    """Characters of a two-byte code which the bytes of everyday characters of another give and which Chinese print lacks."""
+    known = vocabulary()
+    out = set()
+    for c, two in _double_byte(read).items():
+        if c > "\u3100" and c not in known:
+            was = two.encode("latin-1").decode(written, "ignore")
+            if len(was) == 1 and (read == "gbk" or was in known and ord(two[1]) >= 0xA1):
+                out.add(c)
+    return frozenset(out)
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -194,22 +248,7 @@ def _gbk_classes() -> tuple[re.Pattern, re.Pattern]:
 @lru_cache(1)
 def _big5_runs() -> re.Pattern:
     """Characters of Big5 that GBK bytes of everyday characters give and that GB 2312 lacks."""
-    odd = []
-    known = vocabulary()
-    for c, two in _double_byte("big5").items():
-        if c > "\u3100" and c not in known and two.encode("latin-1").decode("gbk", "ignore") in known and ord(two[1]) >= 0xA1:
-            odd.append(c)
-    return re.compile("[" + re.escape("".join(sorted(odd))) + "]")
-
-
-@lru_cache(1)
-def _gbk_from_big5() -> re.Pattern:
-    odd = []
-    known = vocabulary()
-    for c, two in _double_byte("gbk").items():
-        if c > "\u3100" and c not in known and len(two.encode("latin-1").decode("big5", "ignore")) == 1:
-            odd.append(c)
-    return re.compile("[" + re.escape("".join(sorted(odd))) + "]")
+    return re.compile("[" + re.escape("".join(sorted(_odd("big5", "gbk")))) + "]")
 
 
 #: A line without any of these is clean: two characters of a high code page side by side, a lost byte, an odd ideograph.
@@ -240,23 +279,51 @@ def is_suspect(text: str) -> bool:
 class _Weights(dict):
     """Character -> what it says for a restored span; characters that none may hold weigh against it."""
 
+    def __init__(self, known: dict[str, int], written: str):
+        super().__init__(known)
+        self.written = written
+
     def __missing__(self, c: str) -> int:
-        x = self[c] = 0 if c == LOST or c < "\xa0" else -1_000_000
+        if c == LOST or c <= "\xa0" or c == "\xad":
+            x = 0
+        elif self.written == "utf-8":  # what is well-formed is hardly there by chance; but it must be a character
+            x = 1 if unicodedata.category(c)[0] in "LMNPS" else -1_000_000
+        else:  # rare ideographs of the code say nothing, signs speak against it
+            x = 0 if "\u3400" <= c <= "\u9fff" else -1_000_000
+        self[c] = x
         return x
 
 
-@lru_cache(1)
-def _weights() -> _Weights:
-    return _Weights({c: 2 if c in common_han() else 1 for c in vocabulary()})
+@lru_cache(4)
+def _weights(written: str, read: str) -> _Weights:
+    if written == "utf-8" and read == "gbk":  # ordinary words are well-formed there, as letters of other scripts
+        return _Weights(dict.fromkeys(vocabulary() | traditional(), 1) | dict.fromkeys(common_han(), 2), "gbk")
+    common = traditional() if written == "big5" else common_han() | traditional() | other_scripts() if written == "utf-8" else common_han()
+    known = vocabulary() | common
+    if written == "big5":
+        known -= common_han() - common  # simplified forms that Big5 has by chance
+    return _Weights({c: 2 if c in common else 1 for c in known}, written)
 
 
-def _good(text: str) -> tuple[int, int]:
+def _good(text: str, written: str, read: str) -> tuple[int, int]:
     """Characters that speak for a restored span, and how many speak against it."""
-    x = sum(map(_weights().__getitem__, text))
+    x = sum(map(_weights(written, read if read == "gbk" else "").__getitem__, text))
     minus = (999_999 - x) // 1_000_000 if x < 0 else 0
     return x + 1_000_000 * minus, minus
 
 
+def _again(piece: str, new: str, written: str) -> bool:
+    """Do the bytes of the restored text give the span's? A character cut off at the end, and bytes that the wrong decoder lost, cannot."""
+    if LOST in piece:
+        return True
+    whole = new.rstrip(LOST)
+    try:
+        back = whole.encode(written).decode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return piece.startswith(back) and len(piece) - len(back) < 4
+
+
 def _spans(line: str, written: str, read: str) -> list[tuple[int, int, str]]:
     if read in ("gbk", "big5"):
         table = _double_byte(read)
@@ -281,56 +348,63 @@ def _spans(line: str, written: str, read: str) -> list[tuple[int, int, str]]:
                 piece += raw[b0]
         else:
             piece = m[0]
-        out.append((a, b, _read(piece, written)))
+        new = _read(piece, written)
+        if _again(piece, new, written):
+            out.append((a, b, new))
     return out
 
 
 def _accept(old: str, new: str, written: str, read: str, before: str, after: str) -> bool:
-    plus, minus = _good(new)
+    plus, minus = _good(new, written, read)
     size = len(new)
+    if all("─" <= c <= "▟" for c in old):
+        return False  # the lines of a drawn table
     if written == "utf-8" and read == "cp1252":  # read twice, the first step gives signs and controls
         table, known = _tables()["cp1252"], vocabulary()
-        return all(c < "\x80" or c in known or ord(c) in table for c in new)
+        if all(c < "\x80" or c in known or ord(c) in table for c in new):
+            return True
     if minus > 0.1 * size or not plus:
         return False
+    if written == "utf-8" and not any(c in vocabulary() for c in new):  # other scripts: a word at least
+        return sum(c in other_scripts() or c in traditional() for c in new) >= (2 if any(c > "\u2fff" for c in new) else 3)
     if read == "gbk" and written == "utf-8":
         if size == 1 and new in LATIN:
             return before.isascii() and before.isalpha() and after.isascii() and after.isalpha()
         return "銆" in old or "锛" in old or len(old) >= 3 and plus >= 1.2 * size
     if written == "utf-8":
         return len(old) >= 3
-    if read == "cp1252":
+    if read in SINGLE:
         if size == 1:  # one sign or letter of the rows that nobody writes side by side
-            return new in LATIN and old[0] == "¨" or new in PUNCT and old[0] in "¡£"
-        return plus >= 1.5 * size or size > 6
+            return read == "cp1252" and (new in LATIN and old[0] == "¨" or new in PUNCT and old[0] in "¡£")
+        if read == "cp1251":  # Cyrillic words are pairs of such bytes too
+            return plus >= 1.5 * size and size >= 3 and not old.isalpha()
+        return plus >= 1.5 * size or size > 6 and plus >= 0.8 * size
     # double-byte read as another: many characters that nobody writes become everyday ones
-    odd = len((_big5_runs() if read == "big5" else _gbk_from_big5()).findall(old))
+    strange = _odd(read, written)
+    odd = sum(c in strange for c in old)
     return odd >= 3 and odd >= 0.4 * len(old) and plus >= 1.5 * size
 
 
-def _better(line: str, written: str, read: str) -> tuple[str, int]:
-    """The line with its spans restored for this pair, and how many characters went into them. Where one span of a line is sure, the shorter ones beside it need less."""
+def _better(line: str, written: str, read: str) -> tuple[str, int, float]:
+    """The line with its spans restored for this pair, how many characters went into them, and these weighed by how ordinary the restored text is. Where one span of a line is sure, the shorter ones beside it need less."""
     spans = [(a, b, line[a:b], new) for a, b, new in _spans(line, written, read) if not line[a:b].isascii()]
     sure = [_accept(old, new, written, read, line[a - 1 : a], line[b : b + 1]) for a, b, old, new in spans]
     if not any(sure):
-        return line, 0
-    out, last, gain = [], 0, 0
+        return line, 0, 0.0
+    out, last, gain, worth = [], 0, 0, 0.0
     for (a, b, old, new), ok in zip(spans, sure, strict=True):
         if a < last:
             continue
+        plus, minus = _good(new, written, read)
         if not ok:
-            plus, minus = _good(new)
             if minus > 0.2 * len(new) or plus < len(new.replace(LOST, "")) or old.strip("\xa0\xad") == "" or read == "gbk" and len(new) < 2:
                 continue
         out += [line[last:a], new]
         last = b
         gain += len(old)
-    return "".join(out) + line[last:], gain
-
-
-def _unlost(line: str) -> bool:
-    """GBK text read as UTF-8: most bytes are lost, the rest became letters of two-byte scripts."""
-    return LOST in line
+        # well-formed UTF-8 proves itself, of other codes nearly all bytes make sense
+        worth += len(old) * (3.0 if written == "utf-8" and minus == 0 else plus / len(new))
+    return "".join(out) + line[last:], gain, worth
 
 
 def repair_line(line: str) -> tuple[str, bool]:
@@ -338,32 +412,32 @@ def repair_line(line: str) -> tuple[str, bool]:
     if not is_suspect(line):
         return line, False
     hit = False
-    for _ in range(3):  # some text went through two wrong decoders
+    for _ in range(len(line)):  # some text went through several wrong decoders; each round makes the line shorter or ends it
         tried: dict[tuple[str, str], int] = {}
         for _, (n, pairs) in automaton().iter(line):
             for p in pairs:
                 tried[p] = tried.get(p, 0) + n
-        run, latin = _gbk_classes()
-        if "銆" in line or "锛" in line or run.search(line) or latin.search(line):
+        if _gbk_classes()[1].search(line):  # an accented letter within a Latin word
             tried["utf-8", "gbk"] = 1
-        if len(_big5_runs().findall(line)) >= 3:
-            tried["gbk", "big5"] = 1
-        if len(_gbk_from_big5().findall(line)) >= 3:
-            tried["big5", "gbk"] = 1
-        best, gain = line, 0
+        best, gain, most_worth = line, 0, 0.0
         most = sum(c >= "\x80" for c in line)
         for p in sorted(tried, key=lambda p: (-tried[p], PAIRS.index(p))):
-            new, g = _better(line, *p)
-            if g > gain:
-                best, gain = new, g
-                if g >= 0.9 * most:
+            if p == ("gbk", "utf-8"):
+                hit = True  # the bytes are lost: found, but nothing can be restored
+                continue
+            new, g, worth = _better(line, *p)
+            if worth > most_worth:
+                best, gain, most_worth = new, g, worth
+                if g >= 0.9 * most and worth >= 1.9 * g:  # no pair can be much better
                     break
-        if not gain:
+        if not gain or len(best) >= len(line):
+            if gain:
+                line, hit = best, True
             break
         line, hit = best, True
         if not is_suspect(line):
             break
-    return line, hit or _unlost(line)
+    return line, hit
 
 
 def repair_text(text: str | None) -> tuple[str | None, bool]:

@@ -60,3 +60,28 @@ def test_null_empty_long():
 def test_single_quotes():
     assert garble.repair_line("Tap ¡°Read more¡± to open") == ("Tap “Read more” to open", True)
     assert garble.repair_line("Tap вЂњRead moreвЂќ to open") == ("Tap “Read more” to open", True)
+
+
+TRADITIONAL = "滬銅庫存續降，價格上漲"
+EVERY = [
+    (TRADITIONAL, "big5", "cp1252"), ("цены на медь растут", "utf-8", "cp1252"), (TRADITIONAL, "utf-8", "cp1252"), ("銅の在庫が減少", "utf-8", "cp1252"), ("구리 재고 감소", "utf-8", "cp1252"), ("ราคาทองแดง", "utf-8", "cp1252"),
+    (TEXT, "gbk", "cp1251"), (TEXT, "utf-8", "cp437"), (TEXT, "utf-8", "koi8_r"), (TRADITIONAL, "big5", "cp1251"), (TEXT, "gbk", "cp437"), ("naïve café «x»", "utf-8", "cp1252"), ("β 系数", "utf-8", "cp1252"),
+]
+
+
+@pytest.mark.parametrize(("text", "written", "read"), EVERY)
+def test_every_pair(text, written, read):
+    """What was written comes back, not what another code makes of the same bytes."""
+    raw = text.encode(written)
+    bad = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in raw) if read in ("cp1252", "cp1251") else raw.decode(read)
+    assert garble.repair_line(bad) == (text, True)
+
+
+@pytest.mark.parametrize("line", ["цены на медь растут быстро", "Рёв и Сёмга, «Её»", "voilà\xa0» dit-il", "Ελληνικά κείμενο", TRADITIONAL, "銅の在庫", "Đường giá", "5×\xa010 ×‘x’", "┌──┐│表│", "température élevée à «Genève»"])
+def test_real_words_of_other_languages_stay(line):
+    assert garble.repair_line(line) == (line, False)
+
+
+def test_read_twice_in_two_ways():
+    bad = spoil(spoil("每日策略速递 15 成以内。", "utf-8", "cp1252"), "utf-8", "cp1252")
+    assert garble.repair_line(bad) == ("每日策略速递 15 成以内。", True)
