@@ -60,11 +60,11 @@ def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 3
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repair.strip_markup(_readable(spark, sf), "id", "parsed_text").select(F.col("key").alias("report_id"))
+    return repair.marked(_readable(spark, sf), "id", "parsed_text", "org_id").select(F.col("key").alias("report_id"))
 
 
 def p3_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return repair.strip_markup(_readable(spark, sf), "id", "parsed_text").select(F.col("key").alias("report_id"), "text", "kinds")
+    return repair.strip_markup(_readable(spark, sf), "id", "parsed_text", "org_id").select(F.col("key").alias("report_id"), "text", "kinds")
 
 
 # ------------------------------------------------------------------ 4

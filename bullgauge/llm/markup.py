@@ -1,20 +1,29 @@
 """HTML, Markdown, wiki and LaTeX residue in text -> plain text whose structure can still be seen.
 
-Method: every piece of markup opens or closes a node; a node's tag path runs from the root to the
-leaf (``div/p/strong``, ``md/quote``, ``tex/section``). Text length and punctuation are aggregated per
-path, smoothed over the paths in order of appearance and fused into one ratio; paths below the
-threshold that also name no content element (navigation, scripts, styles) are not content.
+Method: tag-path ratios. Every piece of markup of the four dialects opens or closes a node; a node's tag path runs from the root to the
+leaf (``root/div/p/strong``, ``root/md:li/md:a``, ``root/tex:h``). A text is marked if it has a node below the root. The lines of
+text in the nodes are counted per path with their characters, punctuation and links, over all documents of a source (``repair.strip_markup``); the means are
+smoothed over a path's parent, children and siblings and fused into one ratio; paths below ``SHARE`` of the source's mean ratio are not content.
+
+Inline elements belong to the path of their block. Headings, cells, items, code and formulas are structure and stay unless they
+consist of links or stand in navigation; scripts, styles and comments never stay; what is at the root is the text itself.
 
 Output: headings as ``# x``, list items as ``- x``, table rows as ``a | b``, code indented by four
 blanks, formulas between dollar signs; bold, italics, links, anchors, comments and attributes go.
 
-Defined results: null -> null, no case; text without markup is returned as the same object.
+Defined results: null -> null, no case; text without markup is returned as the same object; elements nested beyond ``DEEP``
+levels have a path with the levels beyond as one hash.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable
+
+import xxhash
 
 from bullgauge.llm.lookalike import fold
 
@@ -83,63 +92,248 @@ def kinds(text: str | None, folded: bool = False) -> list[str]:
 
 
 # ------------------------------------------------------------------ nodes
+DEEP = 64
+#: Elements that end where one of the same kind begins.
+_ENDS_ITSELF = {n: g for g in (frozenset(("p",)), frozenset(("li",)), frozenset(("dt", "dd")), frozenset(("td", "th")), frozenset(("tr",)), frozenset(("option",))) for n in g}
 _PUNCT = re.compile(r"[，。；：！？、,.;:!?]")
 _TOKEN = re.compile(f"(?P<html>{_COMMENT}|{_TAG})", re.I | re.S)
+_ENTITIES = re.compile(_ENTITY)
 _NAME = re.compile(r"</?\s*([A-Za-z0-9:]+)")
+_TEX_NAME = re.compile(r"\\([A-Za-z]+)")
+_SECTIONS = frozenset("part chapter section subsection subsubsection paragraph subparagraph title".split())
+
+
+def _markdown_name(s: str) -> str:
+    if s[:2] in ("**", "__"):
+        return "md:strong"
+    return {"`": "md:code", "*": "md:em", "_": "md:em", "~": "md:del", "!": "md:img", "[": "md:a"}[s[0]]
+
+
+def _line_name(s: str) -> str:
+    x = s.lstrip(" \t　")
+    if x.startswith("```"):
+        return "md:pre"
+    if x[:1] == "#" and x.lstrip("#")[:1] == " ":
+        return f"md:h{min(6, len(x) - len(x.lstrip('#')))}"
+    return "md:quote" if x[:1] == ">" else "md:tr" if x[:1] in "|:" or "|" in x else "md:li"
+
+
+def _wiki_name(s: str) -> str:
+    x = s.lstrip(" \t　")
+    if x.startswith("=="):
+        return "wiki:h"
+    return {"''": "wiki:b", "[[": "wiki:a", "[h": "wiki:a", "{{": "wiki:template", "__": "wiki:toc"}.get(x[:2], "wiki:table")
+
+
+def _tex_name(s: str) -> str:
+    if s[0] == "$" or s[1:2] in ("(", ")", "[", "]"):
+        return "tex:math"
+    m = _TEX_NAME.match(s)
+    if not m:
+        return "tex:char"
+    return "tex:h" if m[1] in _SECTIONS else "tex:li" if m[1] == "item" else "tex:env" if m[1] in ("begin", "end") else "tex:cmd"
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of every node of Markdown, wiki and LaTeX and of every entity; a node that is a line's ends with the line."""
+    out = []
+
+    def eol(at: int) -> int:
+        end = text.find("\n", at)
+        return len(text) if end < 0 else end
+
+    if "&" in text:
+        out += [(*m.span(), "entity") for m in _ENTITIES.finditer(text)]
+    for kind, named in (("markdown", _markdown_name), ("wiki", _wiki_name), ("latex", _tex_name)):
+        for signs, p in KINDS[kind]:
+            if not any(x in text for x in signs):
+                continue
+            if p is _LINE:
+                at = 0
+                for line in text.split("\n"):
+                    x = line.lstrip(" \t　")
+                    if x and x[0] in _STARTS and _LINE.search(line):
+                        out.append((at, at + len(line), _line_name(line)))
+                    at += len(line) + 1
+            else:
+                for m in p.finditer(text):
+                    name = named(m[0])
+                    out.append((m.start(), eol(m.end()) if name == "tex:h" else m.end(), name))
+    return out
 
 
 def nodes(text: str) -> list[tuple[str, str]]:
-    """(tag path, text) of every text node in order; a path without HTML is ``root``."""
-    out, stack, at = [], [], 0
-    for m in _TOKEN.finditer(text):
-        if m.start() > at:
-            out.append(("/".join(["root", *stack]), text[at : m.start()]))
-        at = m.end()
-        if n := _NAME.match(m[0]):
-            name = n[1].lower()
-            if m[0][1] == "/":
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            elif name not in VOID and not m[0].endswith("/>") and len(stack) < 64:
-                stack.append(name)
-            out.append(("/".join(["root", *stack]), "\0" + ("/" if m[0][1] == "/" else "") + name))
+    """(tag path, text) of every text node in order, with (path, NUL + name) for each HTML tag; a path without markup is ``root``."""
+    tokens = list(_TOKEN.finditer(text)) if "<" in text or "]]>" in text else []
+    found = spans(text)
+    if not tokens and not found:
+        return [("root", text)] if text else []
+    events: list[tuple[int, int, object]] = [(m.start(), 1, m) for m in tokens]
+    for a, b, name in found:
+        events += [(a, 2, name), (b, 0, name)]
+    events.sort(key=lambda e: e[:2])
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = [("", "root", 0)]  # name, path, hash of the path
+    names: Counter[str] = Counter()
+    inner: list[str] = []
+    at = 0
+
+    def path() -> str:
+        return "/".join((stack[-1][1], *inner)) if inner else stack[-1][1]
+
+    def push(name: str) -> None:
+        _, above, h = stack[-1]
+        h = xxhash.xxh3_64_intdigest(name, seed=h)
+        if len(stack) < DEEP:
+            here = f"{above}/{name}"
+        else:
+            here = f"{stack[DEEP - 1][1]}/~{h:x}"
+        stack.append((name, here, h))
+        names[name] += 1
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        names[name] -= 1
+        return name
+
+    for pos, what, e in events:
+        if pos > at:
+            out.append((path(), text[at:pos]))
+            at = pos
+        if what == 0:
+            if e in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(e)]
+        elif what == 2:
+            inner.append(e)
+        elif e.start() >= at:
+            at = e.end()
+            n = _NAME.match(e[0])
+            if not n:
+                out.append((f"{path()}/comment", "\0comment"))
+                continue
+            name, closing = n[1].lower(), e[0][1] == "/"
+            if closing:
+                if names[name]:
+                    while pop() != name:
+                        pass
+            elif name in VOID or e[0].endswith("/>"):
+                out.append((f"{path()}/{name}", f"\0{name}"))
+                continue
+            else:
+                if stack[-1][0] in _ENDS_ITSELF.get(name, ()):
+                    pop()
+                push(name)
+            out.append((path(), "\0" + ("/" if closing else "") + name))
     if at < len(text):
-        out.append(("/".join(["root", *stack]), text[at:]))
+        out.append((path(), text[at:]))
     return out
 
 
-def path_ratios(found: list[tuple[str, str]]) -> dict[str, float]:
-    """Tag path -> fused ratio: mean text length and mean punctuation of its nodes, each smoothed over neighbouring paths (weights 1 2 1), multiplied."""
-    length: dict[str, list[int]] = {}
+def is_marked(found: list[tuple[str, str]]) -> bool:
+    """Has the text a node below the root? An end tag whose element was never opened is one too."""
+    return any(path != "root" or piece[:1] == "\0" for path, piece in found)
+
+
+def dialects(found: list[tuple[str, str]]) -> list[str]:
+    """The kinds of markup that nodes belong to."""
+    names = {n for path, piece in found for n in (*path.split("/")[1:], *([piece[1:]] if piece[:1] == "\0" else []))}
+    prefixes = {n.split(":")[0] if n[:3] in ("md:", "tex") or n[:5] == "wiki:" else "html" for n in names}
+    return [k for k, p in (("html", "html"), ("markdown", "md"), ("wiki", "wiki"), ("latex", "tex")) if p in prefixes]
+
+
+# ------------------------------------------------------------------ ratios
+SHARE = 0.01
+_INLINE_NAMES = frozenset("b i strong em span font sub sup u s small big mark tt code kbd samp var cite abbr ins del strike time md:strong md:em md:code md:del wiki:b tex:cmd tex:char entity".split())
+_LINKS = frozenset(("a", "md:a", "wiki:a"))
+_STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 li td th tr caption figcaption dt dd pre code blockquote math md:h1 md:h2 md:h3 md:h4 md:h5 md:h6 md:li md:tr md:pre md:quote wiki:h wiki:table tex:h tex:li tex:math tex:env".split())
+_ASIDE = frozenset("nav footer aside button select option form menu".split())
+
+
+def leaf(path: str) -> str:
+    """The path of a node's block: without inline elements at its end; links stay as leaves."""
+    parts = path.split("/")
+    link = ""
+    while len(parts) > 1 and (parts[-1] in _INLINE_NAMES or parts[-1] in _LINKS):
+        link = link or parts[-1] * (parts[-1] in _LINKS)
+        parts.pop()
+    return "/".join([*parts, *([link] if link else [])])
+
+
+_BARE = "-+*#>|`=:'[]! "
+
+
+def statistics(found: list[tuple[str, str]]) -> dict[str, list[int]]:
+    """Path -> lines of text, characters, punctuation, characters in links. A link within a block with words of its own belongs to the block."""
+    out: dict[str, list[int]] = {}
     for path, piece in found:
-        if piece[:1] != "\0" and piece.strip():
-            x = length.setdefault(path, [0, 0, 0])
-            x[0] += 1
-            x[1] += len(piece.strip())
-            x[2] += len(_PUNCT.findall(piece))
-    paths = list(length)
-    means = [(length[p][1] / length[p][0], length[p][2] / length[p][0]) for p in paths]
-
-    def smooth(k: int, f: int) -> float:
-        near = [(means[j][f], w) for j, w in ((k - 1, 1), (k, 2), (k + 1, 1)) if 0 <= j < len(means)]
-        return sum(v * w for v, w in near) / sum(w for _, w in near)
-
-    return {p: smooth(k, 0) * (1 + smooth(k, 1)) for k, p in enumerate(paths)}
-
-
-def content_paths(found: list[tuple[str, str]], share: float = 0.05) -> set[str]:
-    """The paths that hold content: every path that is no script, style or navigation, and of the navigation those whose ratio reaches ``share`` of the largest."""
-    ratio = path_ratios(found)
-    most = max(ratio.values(), default=0.0)
-    kept = set()
-    for p, r in ratio.items():
-        names = set(p.split("/"))
-        if names & SILENT:
-            continue
-        if names & {"nav", "footer", "aside", "button", "select", "option"} and r < share * most:
+        if piece[:1] == "\0":
             continue
-        kept.add(p)
-    return kept
+        p = leaf(path)
+        for line in piece.split("\n"):
+            if (x := line.strip()) and (p == "root" or x.strip(_BARE)):  # the sign of an item alone is no text
+                c = out.setdefault(p, [0, 0, 0, 0])
+                c[0] += 1
+                c[1] += len(x)
+                c[2] += len(_PUNCT.findall(x))
+                c[3] += len(x) * (p.rpartition("/")[2] in _LINKS)
+    for p in [p for p in out if p.rpartition("/")[2] in _LINKS]:
+        block = p.rpartition("/")[0]
+        if block in out:
+            out[block] = [a + b for a, b in zip(out[block], out.pop(p), strict=True)]
+    return out
+
+
+#: Weights of a path's parent and children (one step of the tree away) and of its siblings (two) beside its own 1: exp(-steps ** 2).
+NEAR, FAR = math.exp(-1), math.exp(-4)
+
+
+def exempt(path: str) -> bool | None:
+    """True: content whatever the ratio; False: never content; None: the ratio decides."""
+    names = path.split("/")[1:]
+    if not SILENT.isdisjoint(names) or "comment" in names:
+        return False
+    if not names:
+        return True
+    if names[-1] in _LINKS or not _ASIDE.isdisjoint(names):
+        return None
+    return True if names[-1] in _STRUCTURE or any(n in ("pre", "code", "md:pre", "math") for n in names) else None
+
+
+def ratio(length: float, punctuation: float, linked: float) -> float:
+    """The fused ratio of smoothed means per line: characters, punctuation, share of characters in links."""
+    return length * (1 + punctuation) * (1 - 0.97 * linked)
+
+
+def path_ratios(counts: dict[str, list[int]]) -> dict[str, float]:
+    """Path -> fused ratio of its counts (as of ``statistics``)."""
+    children: dict[str, list[str]] = {}
+    for p in counts:
+        children.setdefault(p.rpartition("/")[0], []).append(p)
+    means = {p: (c[1] / c[0], c[2] / c[0], c[3] / c[1]) for p, c in counts.items()}
+    sums = {up: [sum(means[p][f] for p in ps) for f in range(3)] for up, ps in children.items()}
+
+    def smooth(p: str, f: int) -> float:
+        up = p.rpartition("/")[0]
+        below, beside = children.get(p, ()), len(children[up]) - 1
+        total = means[p][f] + FAR * (sums[up][f] - means[p][f]) + NEAR * (sums[p][f] if below else 0.0)
+        weight = 1 + FAR * beside + NEAR * len(below)
+        if up in means:
+            total, weight = total + NEAR * means[up][f], weight + NEAR
+        return total / weight
+
+    return {p: ratio(*(smooth(p, f) if f < 2 else means[p][f] for f in range(3))) for p in counts}
+
+
+def content_paths(found: list[tuple[str, str]] | dict[str, list[int]], share: float = SHARE) -> set[str]:
+    """The paths that hold content, by the counts of one text or of all texts of a source."""
+    counts = found if isinstance(found, dict) else statistics(found)
+    ratios = path_ratios(counts)
+    least = share * sum(r * counts[p][0] for p, r in ratios.items()) / max(1, sum(c[0] for c in counts.values()))
+    return {p for p, r in ratios.items() if (r >= least if (e := exempt(p)) is None else e)}
+
+
+def dropped_paths(counts: dict[str, list[int]], share: float = SHARE) -> set[str]:
+    return set(counts) - content_paths(counts, share)
 
 
 # ------------------------------------------------------------------ plain text
@@ -167,7 +361,7 @@ def _tex(line: str, head: str) -> str:
     line = _TEX_HEAD.sub(lambda m: head + m[1], line)
     line = re.sub(r"\\item(?![A-Za-z])(?:\[[^\]\n]*\])?\s?", "- " if head else "", line)
     line = re.sub(r"\\footnote" + _ARG, r"（\1）" if head else "", line)
-    for _ in range(4):
+    while True:
         new = _TEX_WORD.sub(r"\1", line)
         if new == line:
             break
@@ -235,8 +429,8 @@ def _lines(text: str, head: str) -> str:
     return "\n".join(out).replace("\3", "# ")
 
 
-def plain_text(text: str | None, marks: bool = True) -> str | None:
-    """The text without markup. ``marks=False`` drops the signs of structure too and keeps every line where it stands (for comparing texts)."""
+def plain_text(text: str | None, marks: bool = True, dropped: Iterable[str] | None = None) -> str | None:
+    """The text without markup. dropped: paths that are no content (by default, those of this text alone). ``marks=False`` drops the signs of structure too and keeps every line where it stands (for comparing texts)."""
     if not text or not kinds(text, not marks):
         return text
     head = "\3" if marks else ""
@@ -244,7 +438,19 @@ def plain_text(text: str | None, marks: bool = True) -> str | None:
         text = re.sub(f"{_COMMENT}|{_TAG}", lambda m: "\n" * m[0].count("\n"), text, flags=re.I | re.S)
         return _lines(text, head)
     found = nodes(text)
-    keep = content_paths(found)
+    counts = statistics(found)
+    gone = dropped_paths(counts) if dropped is None else {p for p in counts if exempt(p) is False}.union(dropped)
+    memo: dict[str, bool] = {}
+
+    def stays(path: str) -> bool:
+        """By the path of its block; a link goes with its block where that has words of its own."""
+        if path not in memo:
+            p = leaf(path)
+            if p not in counts and p.rpartition("/")[2] in _LINKS:
+                p = p.rpartition("/")[0]
+            memo[path] = p not in gone
+        return memo[path]
+
     out: list[str] = []
     pre = 0
     for path, piece in found:
@@ -262,7 +468,10 @@ def plain_text(text: str | None, marks: bool = True) -> str | None:
                     out.append("\3")
                 elif not closing and bare == "li":
                     out.append("- ")
-        elif path in keep or not piece.strip():
-            out.append(re.sub(r"^", "    ", piece, flags=re.M) if pre > 0 else piece)
+        elif not piece.strip() or stays(path):
+            fresh = not out or out[-1].endswith("\n")  # a line of code begins here
+            out.append(("    " if fresh else "") + piece.replace("\n", "\n    ") if pre > 0 else piece)
     text = "".join(out)
+    if gone:
+        text = re.sub(r"^[ \t]*[-+*][ \t]*(?:\r?\n|\Z)", "", text, flags=re.M)  # items whose link has gone
     return re.sub(r"\n{3,}", "\n\n", _lines(text, head))

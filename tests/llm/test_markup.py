@@ -43,3 +43,43 @@ def test_tag_paths():
 def test_degenerate():
     for t in ("<" * 5000, "<p>" * 3000, "*" * 5000, "\\" * 5000, "[" * 3000, "_ " * 3000, "{{" * 2000):
         markup.plain_text(t)
+
+
+MENU = '<div class="menu"><a>首页</a><a>关于</a><a>联系</a></div>'
+BODY = "<div><p>很长的一段正文，有标点。再来一句，更长一些，还有<a>链接</a>。</p></div>"
+
+
+def test_the_ratio_decides():
+    out = markup.plain_text(MENU + BODY)
+    assert "首页" not in out and "联系" not in out and "还有链接。" in out
+    assert markup.plain_text("- [首页](/a)\n- [关于](/b)\n正文一段，有标点，写得很长很长，所以留下来。") == "正文一段，有标点，写得很长很长，所以留下来。"
+
+
+def test_paths_of_every_dialect():
+    for text, path in {"## a": "root/md:h2", "- **a** b": "root/md:li/md:strong", "== a ==": "root/wiki:h", "[[a|b]]": "root/wiki:a", "\\section{a}": "root/tex:h", "x $\\frac{a}{b}$": "root/tex:math", "a&nbsp;b": "root/entity", "<p>a<b>c": "root/p/b", "<p>a<p>b": "root/p", "<!-- x -->": "root/comment"}.items():
+        assert path in {p for p, _ in markup.nodes(text)}, text
+    assert all(not markup.is_marked(markup.nodes(t)) for t in PLAIN if t)
+
+
+def test_deep_nesting():
+    found = markup.nodes("<div>" * 5000 + "x" + "</div>" * 4999 + "y")
+    paths = [p for p, t in found if t in ("x", "y")]
+    assert max(map(len, paths)) < 1000 and paths[1] == "root/div"
+
+
+def test_ratios_of_all_documents_of_a_source(spark):
+    """The operator in SQL against the same in Python; a path is judged by its source's documents, not by one document's."""
+    from bullgauge.llm import repair
+
+    rows = [(k, k % 3 if k % 7 else None, (MENU if k % 2 else "") + f"<div><p>正文{k}，有标点。</p></div>" + ("<span>短</span>" if k % 5 == 0 else "")) for k in range(40)]
+    rows += [(100, 1, MENU), (101, 1, None), (102, 1, ""), (103, 1, "无标记"), (104, None, "<a>x</a>")]
+    df = spark.createDataFrame(rows, "id long, path long, text string")  # a clashing name
+    got = {r.key: r.text for r in repair.strip_markup(df, "id", "text", "path").collect()}
+    counts = {}
+    for _, s, t in rows:
+        if t:
+            for p, c in markup.statistics(markup.nodes(t)).items():
+                mine = counts.setdefault(s, {}).setdefault(p, [0] * 4)
+                mine[:] = [a + b for a, b in zip(mine, c)]
+    want = {k: markup.plain_text(t, dropped=markup.dropped_paths(counts[s])) for k, s, t in rows if t and markup.is_marked(markup.nodes(t))}
+    assert got == want and "首页" not in got[1] and got[100].strip() == ""
