@@ -18,17 +18,16 @@ def _pattern(alias: str) -> str:
 
 
 def match_products(text: Column) -> Column:
-    """Codes in order of first place, then of code; null and empty texts name none. A fold over the aliases in which a hit is replaced by a filler of the same length: U+0001 for ideographs, Z for letters (which no lower-case alias holds, and which still ends a word)."""
+    """Codes in order of first place, then of code; null and empty texts name none. A fold over the aliases in which a hit is replaced by a filler of the same length: U+0001 for ideographs, Z for letters (which no lower-case alias holds, and which still ends a word). A text is searched for an alias as it is; a pattern, for the edges of a word, is used only where the letters of one are there."""
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    aliases = F.array(*(F.struct(F.lit(_pattern(a)).alias("p"), F.lit(c).alias("code"), F.lit(("Z" if a.isascii() else "\x01") * len(a)).alias("fill")) for a, c in lexicon.alias_index()))
+    aliases = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(_pattern(a) if a.isascii() else None).cast("string").alias("p"), F.lit(c).alias("code"), F.lit(("Z" if a.isascii() else "\x01") * len(a)).alias("fill")) for a, c in lexicon.alias_index()))
     none = F.array().cast("array<struct<at:int,code:string>>")
 
     def step(state: Column, a: Column) -> Column:
-        at = F.regexp_instr(state["rest"], a["p"])
-        return F.when(
-            at > 0,
-            F.struct(F.regexp_replace(state["rest"], a["p"], a["fill"]).alias("rest"), F.concat(state["hits"], F.array(F.struct(at.alias("at"), a["code"].alias("code")))).alias("hits")),
-        ).otherwise(state)
+        rest, p = state["rest"], a["p"]
+        at = F.when(~rest.contains(a["a"]), 0).when(p.isNull(), F.instr(rest, a["a"])).otherwise(F.regexp_instr(rest, p))
+        new = F.when(p.isNull(), F.replace(rest, a["a"], a["fill"])).otherwise(F.regexp_replace(rest, p, a["fill"]))
+        return F.when(at > 0, F.struct(new.alias("rest"), F.concat(state["hits"], F.array(F.struct(at.alias("at"), a["code"].alias("code")))).alias("hits"))).otherwise(state)
 
     found = F.aggregate(aliases, F.struct(low.alias("rest"), none.alias("hits")), step, lambda s: s["hits"])
     return F.array_distinct(F.transform(F.array_sort(found), lambda h: h["code"]))

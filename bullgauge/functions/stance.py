@@ -6,7 +6,9 @@ rule in order wins; the first clause with a direction speaks for the text.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from bullgauge import lexicon
 from bullgauge.settings import DEFAULT, Settings
 
-_BLANK = r"(?U)[\s\x1c-\x1f]"
+#: White space as Unicode defines it, and the separators below the blank.
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SENT = "。！？；\\n!?;"
 _SEP = "，。；、：！？,;:.!?（）()【】\\[\\]“”\"'《》\\n\\t·—\\- 　"
 _CLAUSE = "[，,；;。！？!?、\\n\\t]+"
@@ -25,7 +28,7 @@ RESULT = "struct<direction:double,confidence:double,evidence:string,matched:stri
 
 def compact(text: Column) -> Column:
     """Without white space, ASCII in lower case."""
-    return F.translate(F.regexp_replace(text, _BLANK, ""), _UPPER, _LOWER)
+    return F.translate(text, _UPPER + _BLANKS, _LOWER)
 
 
 def _extract(text: Column, pattern: Column) -> Column:
@@ -34,7 +37,7 @@ def _extract(text: Column, pattern: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 #: For x.xx5 held as a double: whether its exact value lies above the tie or, on the tie, rounds to even; by the rule of correctly rounded decimals.
@@ -59,15 +62,25 @@ def intensity(scope: Column) -> Column:
     return out
 
 
+def _guards() -> dict[str, int]:
+    """The sets of characters of which a rule needs one, numbered."""
+    return {chars: k for k, chars in enumerate(dict.fromkeys(lexicon.needed_by(r.pattern) for r in lexicon.RULES))}
+
+
 def _first_rule(clause: Column, weak: Column | bool = True) -> Column:
-    """Number of the first rule that fits; ``weak``: do trend words count."""
-    case = F.when(~clause.rlike(f"[{lexicon.needed_characters()}]"), F.lit(None).cast("int"))  # most clauses end here
-    for r in lexicon.RULES:
-        fits = clause.rlike(r.pattern)
-        if r.group == "weak":
-            fits = weak & fits if isinstance(weak, Column) else fits & F.lit(weak)
-        case = case.when(fits, F.lit(r.ord))
-    return case
+    """Number of the first rule that fits; ``weak``: do trend words count. Which characters a clause holds is looked up once, so hardly any pattern is tried in vain."""
+    guards = _guards()
+
+    def numbered(has: Column) -> Column:
+        case = F.when(~reduce(or_, (F.get(has, F.lit(k)) for k in range(len(guards)))), F.lit(None).cast("int"))
+        for r in lexicon.RULES:
+            fits = F.get(has, F.lit(guards[lexicon.needed_by(r.pattern)])) & clause.rlike(r.pattern)
+            if r.group == "weak":
+                fits = weak & fits if isinstance(weak, Column) else fits & F.lit(weak)
+            case = case.when(fits, F.lit(r.ord))
+        return case
+
+    return let(F.array(*(reduce(or_, (clause.contains(c) for c in chars)) for chars in guards)), numbered)
 
 
 def _of_rule(ord_: Column, values: list) -> Column:
@@ -76,6 +89,14 @@ def _of_rule(ord_: Column, values: list) -> Column:
     return F.get(F.expr(f"array({items})"), ord_ - 1)
 
 
+def _by_rule(ord_: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(pattern)`` for the rule's pattern, which stays a literal, so it is compiled once for all rows."""
+    case = F.when(ord_ == 1, of(F.lit(lexicon.RULES[0].pattern)))
+    for r in lexicon.RULES[1:]:
+        case = case.when(ord_ == r.ord, of(F.lit(r.pattern)))
+    return case
+
+
 def _spaced(matched: Column) -> Column:
     """A pattern for the match in the original text, where white space may stand inside."""
     return F.regexp_replace(matched, "(?s)(.)(?=.)", r"$1(?U:\\s*)")
@@ -94,43 +115,40 @@ def _judge(part: Column, weak: Column, s: Settings) -> Column:
         o = x["o"]
         found = F.struct(
             *(x[k].alias(k) for k in ("c", "o", "raw", "sentence", "whole")),
-            _of_rule(o, [r.pattern for r in rules]).alias("pattern"),
+            _by_rule(o, lambda p: F.regexp_substr(x["c"], p)).alias("m"),
+            _by_rule(o, lambda p: F.regexp_instr(x["c"], p)).alias("at"),
             _of_rule(o, [r.direction for r in rules]).alias("d"),
             _of_rule(o, [r.confidence for r in rules]).alias("conf"),
             _of_rule(o, [r.group == "special" or r.direction == 0 for r in rules]).alias("plain"),
         )
-        return F.when(o.isNotNull(), let(found, place))
-
-    def place(x: Column) -> Column:
-        at, matched = F.regexp_instr(x["c"], x["pattern"]), F.regexp_substr(x["c"], x["pattern"])
-        return let(F.struct(x.alias("x"), at.alias("at"), matched.alias("m"), _spaced(matched).alias("found")), scope)
+        return F.when(o.isNotNull(), let(found, scope))
 
-    def scope(y: Column) -> Column:
-        at = y["at"]
-        left = F.substring(y["x"]["c"], F.greatest(at - n, F.lit(1)), F.least(at - 1, F.lit(n)))
-        return let(F.struct(y.alias("y"), F.regexp_extract(left, f"([^{_SEP}]*)$", 1).alias("left")), weigh)
+    def scope(x: Column) -> Column:
+        at = x["at"]
+        left = F.substring(x["c"], F.greatest(at - n, F.lit(1)), F.least(at - 1, F.lit(n)))
+        return let(F.struct(x.alias("x"), F.regexp_extract(left, f"([^{_SEP}]*)$", 1).alias("left")), weigh)
 
     def weigh(z: Column) -> Column:
-        negated = ~z["y"]["x"]["plain"] & (F.regexp_count(z["left"], F.lit(_NEG)) % 2 == 1)
-        factor = let(F.concat(z["left"], z["y"]["m"]), intensity)
-        x, found = z["y"]["x"], z["y"]["found"]
-        around = _extract(x["sentence"], F.concat(F.lit(f"(?i)([^{_SENT}]*"), found, F.lit(f"[^{_SENT}]*)")))
+        x = z["x"]
+        negated = ~x["plain"] & (F.regexp_count(z["left"], F.lit(_NEG)) % 2 == 1)
+        factor = let(F.concat(z["left"], x["m"]), intensity)
+        around = _extract(x["sentence"], F.concat(F.lit(f"(?i)([^{_SENT}]*"), _spaced(x["m"]), F.lit(f"[^{_SENT}]*)")))
         line = strip(F.when(x["whole"], around).otherwise(x["sentence"]))
-        piece = strip(_extract(x["raw"], F.concat(F.lit(f"(?i)([^{_SEP}]*"), found, F.lit(f"[^{_SEP}]*)"))))
-        return let(F.struct(z.alias("z"), negated.alias("negated"), factor.alias("f"), line.alias("line"), piece.alias("piece")), result)
+        # without white space in the text the match stands at the same place in it
+        matched = F.when(F.length(x["c"]) == F.length(x["raw"]), F.substring(x["raw"], x["at"], F.length(x["m"]))).otherwise(_extract(x["raw"], F.concat(F.lit("(?i)("), _spaced(x["m"]), F.lit(")"))))
+        return let(F.struct(z.alias("z"), negated.alias("negated"), factor.alias("f"), line.alias("line"), matched.alias("matched")), result)
 
     def result(w: Column) -> Column:
-        x, f = w["z"]["y"]["x"], w["f"]
+        x, f = w["z"]["x"], w["f"]
         d, conf, negated = x["d"], x["conf"], w["negated"]
         scaled = ~x["plain"] & ~negated & (f != 1.0)
         size = F.least(F.lit(s.max_abs_direction), F.greatest(F.lit(s.min_scaled_abs), F.abs(d) * f))
         sure = F.least(F.lit(0.99), F.greatest(F.lit(0.05), conf * (0.6 + 0.4 * f)))
         direction = F.when(negated, -F.signum(d) * s.negation_magnitude).when(scaled, F.signum(d) * let(size, round2)).otherwise(d)
         confidence = F.when(negated, F.lit(s.negation_confidence)).when(scaled, let(sure, round2)).otherwise(conf)
-        piece = F.when(w["piece"] == "", w["line"]).otherwise(w["piece"])
-        evidence = F.when(F.length(w["line"]) <= 60, w["line"]).otherwise(let(piece, _cut))
-        matched = _extract(x["raw"], F.concat(F.lit("(?i)("), w["z"]["y"]["found"], F.lit(")")))
-        return F.struct(direction.alias("direction"), confidence.alias("confidence"), evidence.alias("evidence"), matched.alias("matched"), x["o"].alias("rule"), negated.alias("negated"))
+        piece = strip(_extract(x["raw"], F.concat(F.lit(f"(?i)([^{_SEP}]*"), _spaced(x["m"]), F.lit(f"[^{_SEP}]*)"))))
+        evidence = F.when(F.length(w["line"]) <= 60, w["line"]).otherwise(let(let(piece, lambda p: F.when(p == "", w["line"]).otherwise(p)), _cut))
+        return F.struct(direction.alias("direction"), confidence.alias("confidence"), evidence.alias("evidence"), w["matched"].alias("matched"), x["o"].alias("rule"), negated.alias("negated"))
 
     def numbered(x: Column) -> Column:
         return let(F.struct(x["c"].alias("c"), _first_rule(x["c"], weak).alias("o"), *(x[k].alias(k) for k in ("raw", "sentence", "whole"))), rule)
@@ -142,13 +160,13 @@ def _cut(piece: Column) -> Column:
     return F.when(F.length(piece) > 120, F.concat(F.left(piece, F.lit(120)), F.lit("…"))).otherwise(piece)
 
 
-def _candidates(*options: tuple[Column, bool, bool]) -> Column:
-    """(text, do trend words count, does the last clause speak), each first by clauses, then as a whole: words that a break cuts in two are found only there."""
-    return F.array(*(F.struct(t.alias("text"), F.lit(weak).alias("weak"), F.lit(last).alias("last"), F.lit(whole).alias("whole")) for t, weak, last in options for whole in (False, True)))
+def _candidates(*options: tuple[bool, bool]) -> Column:
+    """(do trend words count, does the last clause speak) of each candidate text, each first by clauses, then as a whole: words that a break cuts in two are found only there."""
+    return F.array(*(F.struct(F.lit(k).alias("number"), F.lit(weak).alias("weak"), F.lit(last).alias("last"), F.lit(whole).alias("whole")) for k, (weak, last) in enumerate(options) for whole in (False, True)))
 
 
-def _first_said(candidates: Column, s: Settings) -> Column:
-    """The stance of the first candidate text that has one: a fold that stops looking once it has a result, with one copy of the rules in the plan."""
+def _first_said(candidates: Column, texts: list[Column], s: Settings) -> Column:
+    """The stance of the first candidate text that has one: a fold that stops looking once it has a result, so later texts are not even cut out, with one copy of the rules in the plan."""
 
     def pick(x: Column) -> Column:
         end = F.when(x["last"], -1).otherwise(1)
@@ -156,6 +174,10 @@ def _first_said(candidates: Column, s: Settings) -> Column:
         return F.coalesce(F.try_element_at(some, end), F.try_element_at(x["said"], end))
 
     def says(x: Column) -> Column:
+        text = texts[0] if len(texts) == 1 else reduce(lambda case, k: case.when(x["number"] == k, texts[k]), range(1, len(texts)), F.when(x["number"] == 0, texts[0]))
+        return let(F.struct(text.alias("text"), *(x[k].alias(k) for k in ("weak", "last", "whole"))), of)
+
+    def of(x: Column) -> Column:
         t = x["text"]
         sentences = F.filter(F.split(t, f"[{_SENT}]", -1), lambda y: strip(y) != "")
         clauses = F.flatten(F.transform(sentences, lambda y: F.transform(F.filter(F.split(y, _CLAUSE, -1), lambda c: c != ""), lambda c: F.struct(c.alias("raw"), y.alias("sentence"), F.lit(False).alias("whole")))))
@@ -169,15 +191,15 @@ def _first_said(candidates: Column, s: Settings) -> Column:
 
 def classify(text: Column, weak: bool = True, last: bool = False, s: Settings = DEFAULT) -> Column:
     """Struct of the stance, or null where no rule fits. ``weak``: trend words count; ``last``: the last clause speaks, as in whole blocks."""
-    return _first_said(_candidates((text, weak, last)), s)
+    return _first_said(_candidates((weak, last)), [text], s)
 
 
 def miss_evidence(text: Column) -> Column:
     """The last sentence, for people who look at what no rule fits."""
 
     def last(t: Column) -> Column:
-        line = strip(F.regexp_extract(t, f"(?s)([^{_SENT}]*.)$", 1))
-        piece = strip(F.regexp_extract(t, f"(?s)([^{_SEP}]*.)$", 1))
+        line = strip(F.regexp_extract(t, f"(?s)^(?:.*[{_SENT}])?([^{_SENT}]*.)$", 1))
+        piece = strip(F.regexp_extract(t, f"(?s)^(?:.*[{_SEP}])?([^{_SEP}]*.)$", 1))
         return F.when(F.length(t) <= 60, t).otherwise(let(line, lambda x: F.when(F.length(x) <= 60, x).otherwise(let(F.when(piece == "", x).otherwise(piece), _cut))))
 
     return let(strip(F.coalesce(text, F.lit(""))), last)
@@ -200,22 +222,12 @@ def score_segment(advice: Column, raw: Column, s: Settings = DEFAULT) -> Column:
     """Struct of a segment's score: the advice, else the part after a label, else the tail and the whole block without trend words, else the whole block with them; confidence 0 where nothing fits."""
 
     def cascade(x: Column) -> Column:
-        a, r, label, end = x["a"], x["r"], x["label"], x["end"]
-        found = _first_said(
-            _candidates(
-                (a, True, False),
-                (label, True, False),
-                (F.when(end != label, end), False, True),
-                (F.when(r != end, r), False, True),
-                (r, True, True),
-            ),
-            s,
-        )
+        a, r = x["a"], x["r"]
+        label, end = after_label(r), tail(r, s.fallback_tail_chars)
+        texts = [a, label, F.when(end != label, end), F.when(r != end, r), r]
+        found = _first_said(_candidates((True, False), (True, False), (False, True), (False, True), (True, True)), texts, s)
         rest = miss_evidence(F.when(r != "", r).otherwise(a))
         none = F.struct(F.lit(0.0).alias("direction"), F.lit(0.0).alias("confidence"), rest.alias("evidence"), F.lit("").alias("matched"), F.lit(None).cast("int").alias("rule"), F.lit(False).alias("negated"))
         return F.coalesce(found, none.cast(RESULT))
 
-    def parts(x: Column) -> Column:
-        return let(F.struct(x["a"].alias("a"), x["r"].alias("r"), after_label(x["r"]).alias("label"), tail(x["r"], s.fallback_tail_chars).alias("end")), cascade)
-
-    return let(F.struct(strip(F.coalesce(advice, F.lit(""))).alias("a"), strip(F.coalesce(raw, F.lit(""))).alias("r")), parts)
+    return let(F.struct(strip(F.coalesce(advice, F.lit(""))).alias("a"), strip(F.coalesce(raw, F.lit(""))).alias("r")), cascade)
