@@ -19,11 +19,12 @@ def index_dates(index: DataFrame) -> DataFrame:
 
 def compare_previous(index: DataFrame) -> DataFrame:
     """Each row with the same key's row on the previous index date; nulls where there is none, never 0."""
-    rows = index.select(*_VERSION, "trade_date", "level", "key", "net_score", "coverage_count")
-    before = rows.select(*_VERSION, F.col("trade_date").alias("prev_date"), "level", "key", F.col("net_score").alias("prev_net"))
-    dated = rows.join(index_dates(index).withColumnRenamed("prev_index_date", "prev_date"), [*_VERSION, "trade_date"])
-    out = dated.join(before, [*_VERSION, "prev_date", "level", "key"], "left")
-    out = out.withColumn("prev_date", F.when(F.col("prev_net").isNotNull(), F.col("prev_date")))
+    own = Window.partitionBy(*_VERSION, "level", "key").orderBy("trade_date")
+    last = {n: F.lag(c).over(own) for n, c in (("last_date", "trade_date"), ("last_net", "net_score"))}
+    rows = index.select(*_VERSION, "trade_date", "level", "key", "net_score", "coverage_count").withColumns(last)
+    out = rows.join(index_dates(index), [*_VERSION, "trade_date"])
+    met = F.col("last_date") == F.col("prev_index_date")  # the key's previous row is of the previous index date
+    out = out.withColumns({"prev_date": F.when(met, F.col("last_date")), "prev_net": F.when(met, F.col("last_net"))}).drop("last_date", "last_net", "prev_index_date")
     delta = F.bround(F.col("net_score") - F.col("prev_net"), 1)
     score, prev = market_score(F.col("net_score")), market_score(F.col("prev_net"))
     return out.withColumns({"delta": delta, "score": score, "prev_score": prev}).withColumn("delta_score", F.bround(F.col("score") - F.col("prev_score"), 1))
@@ -36,7 +37,7 @@ def _top(rows: DataFrame, n: int, *order) -> DataFrame:
 
 def top_movers(index: DataFrame, n: int = 3) -> DataFrame:
     """The n products of each day that moved most since the previous index date; none on the first."""
-    moved = compare_previous(index.filter("level = 'product'").unionByName(index.filter("level <> 'product'"))).filter("level = 'product' AND delta IS NOT NULL AND delta <> 0")
+    moved = compare_previous(index).filter("level = 'product' AND delta IS NOT NULL AND delta <> 0")
     return _top(moved.select(*_VERSION, "trade_date", "key", "net_score", "prev_net", "delta"), n, F.desc(F.abs("delta")), "key")
 
 

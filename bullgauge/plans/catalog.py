@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bullgauge import lexicon
 from bullgauge.functions import products, stance, text
 from bullgauge.operators import levels, segmenting, trends, votes
-from bullgauge.plans import sql
+from bullgauge.plans import examples, sql
 from bullgauge.settings import DEFAULT
 from bullgauge.sources import inbox
 from bullgauge.sources.spread import spread
@@ -179,23 +179,15 @@ def version_coexistence(spark, sf):
     return _index(spark, sf).groupBy("model_version", "calc_version", "level").agg(F.count("*").alias("rows"), F.countDistinct("trade_date").alias("days"))
 
 
-def _matrix(spark, sf, most: int | None = None):
-    org = _t(spark, sf, "org").select("name").orderBy("id")
-    orgs = [r[0] for r in (org.limit(most) if most else org).collect()]  # a fixed table of houses
-    out = levels.matrix(_votes(spark, sf), orgs)
-    return out.select(*_KEY, "product_code", *(F.coalesce(F.col(f"`{o}`"), F.lit("")).alias(f"c{k}") for k, o in enumerate(orgs)))
-
-
 @_query
 def stance_matrix(spark, sf):
-    """The first 8 houses only, as its SQL is written; all of them: stance_matrix_all."""
-    return _matrix(spark, sf, DEFAULT.max_matrix_orgs)
+    """Every house of org (a fixed table), c0, c1, ... in order of the id."""
+    orgs = [r[0] for r in _t(spark, sf, "org").orderBy("id").select("name").collect()]
+    out = levels.matrix(_votes(spark, sf), orgs)
+    return out.select(*_KEY, "product_code", *(F.coalesce(F.col(f"`{o}`"), F.lit("")).alias(f"c{k}") for k, o in enumerate(orgs)))
 
 
-@_query
-def stance_matrix_all(spark, sf):
-    """Every house of org, c0, c1, ... in order of the id."""
-    return _matrix(spark, sf)
+_QUERIES["stance_matrix_all"] = stance_matrix  # its name while stance_matrix had eight houses
 
 
 # ------------------------------------------------------------------ trends
@@ -344,9 +336,9 @@ def segment_notes(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | examples.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     known = sql.build(lexicon)
-    return {k: v for k, v in known.items() if k in _QUERIES}
+    return {k: v for k, v in known.items() if k in _QUERIES} | examples.SQL

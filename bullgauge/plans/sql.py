@@ -42,6 +42,24 @@ def _stance(lexicon) -> str:
     said AS (SELECT g.id, b.rule, b.direction + 0.0::DOUBLE AS direction, b.confidence, b.negated FROM segment g LEFT JOIN best b ON b.id = g.id AND b.rn = 1)"""
 
 
+def _products(lexicon) -> str:
+    """Codes of every title: the aliases one after the other, the longest first, each hit filled up so that no later alias sees it."""
+    aliases = ", ".join(f"({k}, '{a}', '{c}', {str(a.isascii()).lower()})" for k, (a, c) in enumerate(lexicon.alias_index()))
+    last = len(lexicon.alias_index())
+    edge = "'(^|[^0-9A-Za-z])' || a || '($|[^0-9A-Za-z])'"
+    fill = "repeat(CASE WHEN word THEN 'Z' ELSE chr(1) END, length(a))"
+    return f"""WITH RECURSIVE al(k, a, code, word) AS (VALUES {aliases}),
+    step AS (
+      SELECT id, 0 AS k, translate(coalesce(title, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS rest, 0 AS place, '' AS code FROM report
+      UNION ALL
+      SELECT id, k + 1, CASE WHEN pos = 0 THEN rest WHEN word THEN regexp_replace(regexp_replace(rest, {edge}, '\\1' || fill || '\\2', 'g'), {edge}, '\\1' || fill || '\\2', 'g') ELSE replace(rest, a, fill) END, pos, alias_code
+      FROM (SELECT s.id, s.k, s.rest, al.a, al.word, al.code AS alias_code, {fill} AS fill,
+              CASE WHEN NOT al.word THEN strpos(s.rest, al.a) WHEN regexp_matches(s.rest, {edge}) THEN length(regexp_extract(s.rest, '^(.*?(?:^|[^0-9A-Za-z]))' || al.a || '(?:$|[^0-9A-Za-z])', 1)) + 1 ELSE 0 END AS pos
+            FROM step s JOIN al ON al.k = s.k)),
+    firsts AS (SELECT id, code, min(place) AS place FROM step WHERE place > 0 GROUP BY ALL)
+    SELECT r.id, coalesce(string_agg(f.code, ',' ORDER BY f.place, f.code), '') AS codes FROM report r LEFT JOIN firsts f ON f.id = r.id GROUP BY r.id"""
+
+
 def build(lexicon) -> dict[str, str]:
     sectors = "CASE product_code " + " ".join(f"WHEN '{p.code}' THEN '{p.sector}'" for p in lexicon.PRODUCTS) + " END"
     sectors_any = "CASE upper(trim(product_code)) " + " ".join(f"WHEN '{p.code}' THEN '{p.sector}'" for p in lexicon.PRODUCTS) + " " + " ".join(f"WHEN '{p.name}' THEN '{p.sector}'" for p in lexicon.PRODUCTS if p.name != p.code) + " END"
@@ -80,7 +98,8 @@ def build(lexicon) -> dict[str, str]:
     compact = r"lower(regexp_replace(advice_text, '\s', '', 'g'))"
     rules = " ".join(f"WHEN regexp_matches(c, '{r.pattern.replace('(?<!难)', '')}') THEN {r.ord}" for r in lexicon.RULES)
     stance = _stance(lexicon)
-    return {
+    found = {
+        "match_products": _products(lexicon),
         "classify_advice": f"{stance} SELECT id, rule, direction, confidence, negated FROM said",
         "method_stats": f"{stance} SELECT g.product_code, count(*) AS total, count(s.rule) AS hit, count(*) FILTER (s.direction > 0.25) AS bull, count(*) FILTER (s.direction < -0.25) AS bear FROM segment g JOIN said s ON s.id = g.id GROUP BY 1",
         "rule_hits": f"SELECT CAST(rule AS INT) AS rule, count(*) AS n FROM (SELECT CASE {rules} END AS rule FROM (SELECT {compact} AS c FROM segment)) GROUP BY 1",
@@ -112,7 +131,7 @@ def build(lexicon) -> dict[str, str]:
         "version_coexistence": f'WITH {index()} SELECT model_version, calc_version, level, count(*) AS "rows", count(DISTINCT trade_date) AS days FROM idx GROUP BY ALL',
         "stance_matrix": f"""WITH {ballot}, cells AS (SELECT v.*, o.k, CASE WHEN direction >= 1.5 THEN '++' WHEN direction > 0.25 THEN '+' WHEN direction <= -1.5 THEN '--' WHEN direction < -0.25 THEN '-' ELSE '·' END AS sign
           FROM votes v LEFT JOIN (SELECT name, row_number() OVER (ORDER BY id) - 1 AS k FROM org) o ON o.name = v.org_name WHERE product_code IS NOT NULL)
-          SELECT model_version, trade_date, product_code, {", ".join(f"coalesce(max(sign) FILTER (k = {k}), '') AS c{k}" for k in range(8))} FROM cells GROUP BY ALL""",
+          SELECT model_version, trade_date, product_code, {", ".join(f"coalesce(max(sign) FILTER (k = {k}), '') AS c{k}" for k in range(25))} FROM cells GROUP BY ALL""",
         "index_dates": f"WITH {compared} SELECT model_version, trade_date, p AS prev_index_date FROM days",
         "latest_date": f"WITH {index()} SELECT model_version, max(trade_date) AS last, min(trade_date) AS first FROM idx GROUP BY 1",
         "compare_previous": f"WITH {compared} SELECT model_version, trade_date, level, key, net_score, prev_date, prev_net, delta, delta_score FROM cmp2",
@@ -132,3 +151,4 @@ def build(lexicon) -> dict[str, str]:
         "sector_of": f"SELECT id, {sectors_any} AS sector FROM segment",
         "first_rule": f"SELECT id, CAST(CASE {rules} END AS INT) AS rule FROM (SELECT id, {compact} AS c FROM segment)",
     }
+    return found | {"stance_matrix_all": found["stance_matrix"]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bullgauge.functions.stance import score_segment
@@ -11,6 +11,7 @@ from bullgauge.settings import DEFAULT, Settings
 from bullgauge.sources import inbox, parsing
 
 TABLES = {
+    "orgs": ("org_name string", []),
     "notes": (inbox.SCHEMA, ["trade_date"]),
     "note_text": (parsing.SCHEMA, []),
     "segments": ("file_md5 string, product_code string, product_name string, sector string, raw_text string, advice_text string, seq int", []),
@@ -49,9 +50,10 @@ class Store:
         system.delete(p, True)
 
     def _append(self, name: str, rows: DataFrame) -> int:
-        before = self.count(name)
-        rows.write.mode("append").partitionBy(*TABLES[name][1]).parquet(self._path(name))
-        return self.count(name) - before
+        """Rows written, counted while they are."""
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*TABLES[name][1]).parquet(self._path(name))
+        return seen.get["n"]
 
     # -------------------------------------------------------------- stages
     def ingest(self, folder: str, channel: str = "inbox", now: str | None = None) -> dict[str, int]:
@@ -59,23 +61,26 @@ class Store:
         rows = inbox.notes(inbox.scan(self.spark, folder), channel, now)
         empty = len(names) - rows.filter("parse_status = 'pending'").count()  # listings of Spark leave empty files out
         new = self._append("notes", inbox.new_notes(rows, self.table("notes")))
+        houses = self.table("notes").select("org_name").distinct()
+        self._append("orgs", houses.join(self.table("orgs"), "org_name", "left_anti"))  # a house is entered when its first note is
         return {"new": new, "duplicated": len(names) - empty - new, "failed": empty, "skipped_format": len(skipped)}
 
-    def parse(self, folder: str | None = None) -> dict[str, int]:
+    def parse(self) -> dict[str, int]:
         todo = self.table("notes").join(self.table("note_text").select("file_md5"), "file_md5", "left_anti")
-        paths = todo.select("file_md5", F.col("file_path").alias("path"))
-        dirs = [r[0] for r in paths.select(F.regexp_replace("path", "[^/]*$", "")).distinct().collect()]  # folders, not files
-        if not dirs:
-            return {"total": 0, "ok": 0, "failed": 0, "dependency_missing": 0}
-        files = self.spark.read.format("binaryFile").load(dirs).select("path", "content")
-        new = parsing.parse(paths.join(files, "path", "left").select("file_md5", "path", "content"))
-        self._append("note_text", new)
+        self._append("note_text", parsing.parse_paths(todo.select("file_md5", F.col("file_path").alias("path")), self.s))
         return parsing.parse_counts(self.table("note_text")).first().asDict()
 
     def segment(self) -> dict[str, int]:
+        """Counts of this run: notes, blocks, those on a product, macro ones, those that several products share, notes without a block."""
         notes = self.table("note_text").filter("parse_status = 'ok'")
         todo = notes.join(self.table("segments").select("file_md5").distinct(), "file_md5", "left_anti")
-        return {"segments": self._append("segments", segmenting.segment_notes(todo, "file_md5", "parsed_text", self.s))}
+        asked, made = Observation(), Observation()
+        found = segmenting.segment_notes(todo.observe(asked, F.count(F.lit(1)).alias("n")), "file_md5", "parsed_text", self.s)
+        product = F.col("product_code").isNotNull()
+        counts = {"product": F.count_if(product), "macro": F.count_if(~product), "multi": F.count_if(F.col("raw_text").startswith("[多品种合并块")), "filled": F.count_if(F.col("seq") == 0)}
+        n = self._append("segments", found.observe(made, *(c.alias(k) for k, c in counts.items())))
+        got = made.get
+        return {"reports": asked.get["n"], "segments": n, "product": got["product"], "macro": got["macro"], "multi": got["multi"], "empty": asked.get["n"] - got["filled"]}
 
     def score(self, model_version: str | None = None) -> dict[str, int]:
         version = model_version or self.s.score_version
@@ -87,6 +92,16 @@ class Store:
         hit = self.table("scores").filter((F.col("model_version") == version) & (F.col("confidence") > 0)).count()
         return {"scored": n, "hit": hit}
 
+    def score_counts(self, model_version: str | None = None) -> dict[str, float]:
+        """Of a version's scores: total, hit, miss, hit rate, low confidence, bull, bear, neutral."""
+        rows = self.table("scores").filter(F.col("model_version") == (model_version or self.s.score_version))
+        hit, d = F.col("confidence") > 0, F.col("direction")
+        got = rows.agg(
+            F.count("*").alias("total"), F.count_if(hit).alias("hit"), F.count_if(~hit).alias("miss"), F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count("*")), F.lit(0.0)).alias("hit_rate"), F.count_if(hit & (F.col("confidence") < self.s.low_confidence)).alias("low_confidence"),
+            F.count_if(hit & (d > self.s.bull_cutoff)).alias("bull"), F.count_if(hit & (d < self.s.bear_cutoff)).alias("bear"), F.count_if(hit & d.between(self.s.bear_cutoff, self.s.bull_cutoff)).alias("neutral"),
+        )
+        return got.first().asDict()
+
     def votes(self) -> tuple[DataFrame, DataFrame]:
         """(readable rows, votes) of all days and versions."""
         notes = self.table("notes").select("file_md5", "org_name", "title", "publish_time", "ingest_time", "trade_date")
@@ -96,11 +111,11 @@ class Store:
         return rows, votes.one_vote(rows)
 
     def aggregate(self) -> dict[str, int]:
-        """All days in one job; a day of which all votes vanished loses its rows, as whole versions are rewritten as partitions."""
+        """All days of this calculation version in one job; a day of which all votes vanished loses its rows, as the version's folder is written anew; other calculation versions stay."""
         _, ballot = self.votes()
         rows = levels.index_levels(ballot, self.s).withColumn("updated_at", F.current_timestamp())
         cols = [c.strip().split(" ")[0] for c in TABLES["daily_index"][0].split(",")]
-        rows.select(*cols).write.mode("overwrite").partitionBy(*TABLES["daily_index"][1]).parquet(self._path("daily_index"))
+        rows.select(*(c for c in cols if c != "calc_version")).write.mode("overwrite").partitionBy("model_version", "trade_date").parquet(f"{self._path('daily_index')}/calc_version={self.s.calc_version}")
         return {"index_rows": self.count("daily_index")}
 
     def pipeline(self) -> dict[str, dict[str, int]]:
@@ -110,6 +125,15 @@ class Store:
         m, c = model_version or self.s.score_version, calc_version or self.s.calc_version
         return self.table("daily_index").filter((F.col("model_version") == m) & (F.col("calc_version") == c))
 
+    def read_index(self, date: str | None = None, level: str | None = None, model_version: str | None = None, calc_version: str | None = None) -> DataFrame:
+        """Index rows of a day and level (or all), by day, level, falling net score and key."""
+        rows = self.index(model_version, calc_version)
+        if date:
+            rows = rows.filter(F.col("trade_date") == F.lit(date).cast("date"))
+        if level:
+            rows = rows.filter(F.col("level") == level)
+        return rows.orderBy("trade_date", "level", F.desc("net_score"), "key")
+
 
 def score_with_model(text: str) -> dict:
     """Adapter point for a scoring model beside the rules; its evidence must be a part of the text."""

@@ -82,3 +82,30 @@ def test_decoding():
 def test_normalize(spark):
     df = spark.createDataFrame([("a\r\nb  \n\n\n\nc　",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(text.normalize_text(F.col("t"))).collect()] == ["a\nb\n\nc", None, ""]
+
+
+def test_versions_stand_side_by_side(spark, folder, tmp_path):
+    from dataclasses import replace
+
+    from bullgauge.settings import DEFAULT
+
+    root = f"file://{tmp_path}/wh"
+    one = Store(spark, root)
+    assert one.pipeline()["segment"] == {"reports": 0, "segments": 0, "product": 0, "macro": 0, "multi": 0, "empty": 0}
+    one.ingest(folder)
+    made = one.pipeline()
+    assert made["segment"] == {"reports": 3, "segments": 6, "product": 6, "macro": 0, "multi": 0, "empty": 0}
+    assert {r[0] for r in one.table("orgs").collect()} == {"甲期货", "乙期货", "丙期货", "丁期货"}
+    counts = one.score_counts()
+    assert counts == {"total": 6, "hit": 6, "miss": 0, "hit_rate": 1.0, "low_confidence": 0, "bull": 2, "bear": 3, "neutral": 1}
+    n = one.count("daily_index")
+    two = Store(spark, root, replace(DEFAULT, calc_version="netscore-v2", bear_weight=2.0))
+    two.aggregate()
+    two.aggregate()
+    assert one.count("daily_index") == 2 * n and one.index().count() == two.index().count() == n
+    one.score("rule-v2")
+    one.aggregate()
+    assert one.index("rule-v2").count() == n and two.index().count() == n
+    rows = one.read_index("2026-09-09", "product").collect()
+    assert [r.key for r in rows] == [r.key for r in sorted(rows, key=lambda r: (-r.net_score, r.key))] and {r.level for r in rows} == {"product"}
+    assert one.read_index("2030-01-01").count() == 0
