@@ -138,20 +138,47 @@ def _containers(doc: np.ndarray, source: np.ndarray, line: np.ndarray, variant:
     yield pa.record_batch([*(pa.array(c[starts[many]]) for c in keys), pa.array(packed, pa.binary()), pa.array(size[many].astype(np.int32))], schema=_PART)
 
 
+_PARTIAL = "source long, line long, variant long, bucket long, bitmap binary, cardinality int"
+
+
+def _in_rounds(rows: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for r in rows:
+        held.append(r)
+        n += r[0].size
+        if n >= _ROUND:
+            yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def partial(found: DataFrame) -> DataFrame:
-    """source, line, variant, bucket, bitmap, cardinality: the containers of each task's documents."""
+    """source, line, variant, bucket, bitmap, cardinality: the containers of each task's documents. found: doc, source, line, variant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(4)])
-            if sum(h[0].size for h in held) >= _ROUND:
-                yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
-                held.clear()
-        if sum(h[0].size for h in held):
-            yield from _containers(*map(np.concatenate, zip(*held, strict=True)))
+        yield from _in_rounds([b.column(i).to_numpy() for i in range(4)] for b in batches)
 
-    return found.select("doc", "source", "line", "variant").mapInArrow(run, "source long, line long, variant long, bucket long, bitmap binary, cardinality int")
+    return found.select("doc", "source", "line", "variant").mapInArrow(run, _PARTIAL)
+
+
+def partial_of_lists(docs: DataFrame) -> DataFrame:
+    """The same of doc, source, lines (an array; 0 for a blank line), where the variants of a line are not told apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                lists = b.column(2)
+                size = lists.value_lengths().fill_null(0).to_numpy()
+                line = lists.flatten().to_numpy()
+                doc, source = (np.repeat(b.column(i).to_numpy(), size)[line != 0] for i in (0, 1))
+                line = line[line != 0]
+                yield [doc, source, line, line]
+
+        yield from _in_rounds(rows())
+
+    return docs.select("doc", "source", "lines").filter("source IS NOT NULL").mapInArrow(run, _PARTIAL)
 
 
 _WHOLE = pa.schema([("source", pa.int64()), ("line", pa.int64()), ("bucket", pa.int64()), ("bitmap", pa.binary()), ("cardinality", pa.int64()), ("variants", pa.int32())])
@@ -216,13 +243,18 @@ def united(parts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def repeated(found: DataFrame, docs_per_source: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``often`` of the containers of found (doc, source, line, variant)."""
+    return often(partial(found), docs_per_source, min_docs, min_share)
+
+
+def often(parts: DataFrame, docs_per_source: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """source, line, bucket, bitmap, docs, variants: the containers of the lines whose united bitmaps hold at least ``min_docs`` documents of their source and at least ``min_share`` of them."""
-    spark = found.sparkSession
-    maps = written(spark, united(partial(found), min_docs), "bitmaps")
+    spark = parts.sparkSession
+    maps = written(spark, united(parts, min_docs), "bitmaps")
     docs = maps.groupBy("source", "line").agg(F.sum("cardinality").alias("docs"), F.max("variants").alias("variants"))
     enough = F.greatest(F.lit(float(min_docs)), F.col("n") * min_share - 1e-9)
-    often = docs.join(small(spark, docs_per_source, "sources"), "source").filter(F.col("docs") >= enough).drop("n")
-    return maps.select("source", "line", "bucket", "bitmap").join(small(spark, often, "often"), ["source", "line"])
+    kept = docs.join(small(spark, docs_per_source, "sources"), "source").filter(F.col("docs") >= enough).drop("n")
+    return maps.select("source", "line", "bucket", "bitmap").join(small(spark, kept, "often"), ["source", "line"])
 
 
 def places(found: DataFrame, lines_: DataFrame) -> DataFrame:

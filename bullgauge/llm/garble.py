@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 
@@ -153,27 +155,26 @@ def _read(raw: str, written: str) -> str:
     return re.sub(_UTF8 + r"|[^\x00-\x7f]+", unit, raw)
 
 
+_LATIN_SIGNS = frozenset(LATIN + SIGNS)
+
+
 def _sequences() -> dict[str, set[tuple[str, str]]]:
     """Garbled sequence -> the pairs that give it."""
     found: dict[str, set[tuple[str, str]]] = {}
-    for written, read in PAIRS:
-        if read not in SINGLE:
-            continue
-        tables = [{v: chr(k) for k, v in _tables()[read].items()}]
-        if read == "cp1252":  # read as Latin-1, all of it C1 controls, or as the code page
-            tables = [{chr(c): chr(c) for c in range(0x80, 0x100)}, {v: chr(k) for k, v in _single_byte("cp1252").items()}]
+    for written in dict.fromkeys(w for w, _ in PAIRS):
         words = vocabulary() | (traditional() if written != "gbk" else frozenset()) | (other_scripts() if written == "utf-8" else frozenset())
-        for c in words:
-            if (c in LATIN or c in SIGNS) and (written == "big5" or read in ("cp437", "koi8_r") or c in SIGNS and c not in PUNCT and written != "utf-8"):
-                continue
-            try:
-                raw = c.encode(written).decode("latin-1")
-            except UnicodeEncodeError:
-                continue
-            if len(raw) < 2:
-                continue
-            for t in tables:
-                found.setdefault("".join(t.get(b, b) for b in raw), set()).add((written, read))
+        raws = [(c, raw.decode("latin-1")) for c in words if len(raw := c.encode(written, "ignore")) > 1]
+        for read in (r for w, r in PAIRS if w == written and r in SINGLE):
+            tables = [{ord(v): k for k, v in _tables()[read].items()}]
+            if read == "cp1252":  # read as Latin-1, all of it C1 controls, or as the code page
+                tables = [{}, {ord(v): k for k, v in _single_byte("cp1252").items()}]
+            pair = (written, read)
+            latin = written == "big5" or read in ("cp437", "koi8_r")
+            for c, raw in raws:
+                if c in _LATIN_SIGNS and (latin or written != "utf-8" and c in SIGNS and c not in PUNCT):
+                    continue
+                for t in tables:
+                    found.setdefault(raw.translate(t), set()).add(pair)
     # UTF-8 read as GBK: two bytes of a character, then its last byte and the first of what follows
     two = {v: k for k, v in _double_byte("gbk").items()}
     nexts = [chr(b) for b in (*range(0xE2, 0xEA), 0xEF)]
@@ -207,12 +208,25 @@ def _odd(read: str, written: str) -> frozenset[str]:
 
 
 @lru_cache(1)
-def automaton() -> ahocorasick.Automaton:
+def automaton() -> tuple[ahocorasick.Automaton, list[tuple[int, tuple[tuple[str, str], ...]]]]:
+    """The automaton, whose values are numbers, and for each number the length of a sequence and its pairs."""
     a = ahocorasick.Automaton()
+    number: dict[tuple, int] = {}
     for g, pairs in _sequences().items():
-        a.add_word(g, (len(g), tuple(sorted(pairs))))
+        a.add_word(g, number.setdefault((len(g), tuple(sorted(pairs))), len(number)))
     a.make_automaton()
-    return a
+    return a, list(number)
+
+
+def _hits(line: str) -> dict[tuple[str, str], int]:
+    """Characters in sequences of each pair."""
+    a, kinds = automaton()
+    tried: dict[tuple[str, str], int] = {}
+    for k, times in Counter(map(itemgetter(1), a.iter(line))).items():
+        n, pairs = kinds[k]
+        for p in pairs:
+            tried[p] = tried.get(p, 0) + n * times
+    return tried
 
 
 #: Frequent characters of modern Chinese, most frequent first; settles which of several fitting characters lost a byte.
@@ -294,7 +308,7 @@ class _Weights(dict):
         return x
 
 
-@lru_cache(4)
+@lru_cache(16)
 def _weights(written: str, read: str) -> _Weights:
     if written == "utf-8" and read == "gbk":  # ordinary words are well-formed there, as letters of other scripts
         return _Weights(dict.fromkeys(vocabulary() | traditional(), 1) | dict.fromkeys(common_han(), 2), "gbk")
@@ -407,28 +421,32 @@ def _better(line: str, written: str, read: str) -> tuple[str, int, float]:
     return "".join(out) + line[last:], gain, worth
 
 
+#: Pairs of which only odd characters or every second sequence are in the automaton.
+_SPARSE = frozenset((("gbk", "utf-8"), ("gbk", "big5"), ("big5", "gbk"), ("utf-8", "gbk")))
+
+
 def repair_line(line: str) -> tuple[str, bool]:
     """The line as it was written, as far as that can be told, and whether any of it was garbled."""
     if not is_suspect(line):
         return line, False
     hit = False
     for _ in range(len(line)):  # some text went through several wrong decoders; each round makes the line shorter or ends it
-        tried: dict[tuple[str, str], int] = {}
-        for _, (n, pairs) in automaton().iter(line):
-            for p in pairs:
-                tried[p] = tried.get(p, 0) + n
+        tried = _hits(line)
         if _gbk_classes()[1].search(line):  # an accented letter within a Latin word
             tried["utf-8", "gbk"] = 1
         best, gain, most_worth = line, 0, 0.0
         most = sum(c >= "\x80" for c in line)
+        likely = max(tried.values(), default=0) / 4  # the sequences of the right pair are all there, of another some by chance
         for p in sorted(tried, key=lambda p: (-tried[p], PAIRS.index(p))):
+            if tried[p] < likely and p not in _SPARSE:
+                continue
             if p == ("gbk", "utf-8"):
                 hit = True  # the bytes are lost: found, but nothing can be restored
                 continue
             new, g, worth = _better(line, *p)
             if worth > most_worth:
                 best, gain, most_worth = new, g, worth
-                if g >= 0.9 * most and worth >= 1.9 * g:  # no pair can be much better
+                if g >= 0.9 * most and worth >= 1.6 * g:  # no pair can be much better
                     break
         if not gain or len(best) >= len(line):
             if gain:

@@ -5,7 +5,7 @@ file, the hash of its body, and ``KEYS`` keys of eight one-byte minimums each (m
 The keys of a batch are sorted within key ranges and persisted as a run; a new run is merged with
 the persisted runs of each range, and only the windows around its records are compared: neighbours up to
 ``WINDOW`` places away that share the first ``PREFIX`` bytes of the key and ``REST`` of the other
-13: each record carries the document's next key as a check. After every ``COMPACT`` batches the
+13: each record carries the document's next key as a check, or a second hash of its file or body; equal files and bodies are told by both hashes. After every ``COMPACT`` batches the
 runs of a range are merged into one. Candidates are verified exactly on their bodies. Where a bucket
 (equal key number and ``PREFIX`` bytes) holds more than a window reaches, ``crowded`` goes on after the last batch with
 all pairs of the bucket: as candidates where few pass the bytes, else the bucket's bodies are brought together and compared by ``alike_in_crowds``.
@@ -99,33 +99,42 @@ def squeeze(body: str) -> str:
 
 
 # ------------------------------------------------------------------ keys of a batch
+_KEYED = pa.schema([("id", pa.int64()), ("batch_no", pa.int32()), ("file_key", pa.int64()), ("file_check", pa.int64()), ("body_key", pa.int64()), ("body_check", pa.int64()), ("near_keys", pa.list_(pa.int64()))])
+
+
+def _twice(s: str) -> tuple[int, int]:
+    """Two hashes; texts that share both are taken for equal."""
+    return tuple(xxhash.xxh3_64_intdigest(s, seed=k) - (1 << 63) for k in (0, 1))
+
+
 def keyed(rows: DataFrame, body_of: Callable[[pa.RecordBatch], list[str | None]]) -> DataFrame:
-    """id, batch_no, file_key, body_key, near_keys; rows: id, batch_no, file hash, then what body_of needs."""
+    """id, batch_no, file_key, file_check, body_key, body_check, near_keys; rows: id, batch_no, file hash, then what body_of needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            file_keys, body_keys, near = [], [], []
+            files, bodies, near = [], [], []
             for f, body in zip(b.column(2).to_pylist(), body_of(b), strict=True):
-                file_keys.append(xxhash.xxh3_64_intdigest(f.strip().lower()) - (1 << 63) if f and f.strip() else None)
+                files.append(_twice(f.strip().lower()) if f and f.strip() else (None, None))
                 body = squeeze(body) if body else ""
                 h = shingles(body)
-                body_keys.append(xxhash.xxh3_64_intdigest(body) - (1 << 63) if body else None)
+                bodies.append(_twice(body) if body else (None, None))
                 near.append(near_keys(h) if h.size else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(file_keys, pa.int64()), pa.array(body_keys, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names=["id", "batch_no", "file_key", "body_key", "near_keys"])
+            cols = [[x[k] for x in pairs] for pairs in (files, bodies) for k in (0, 1)]
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols), pa.array(near, pa.list_(pa.int64()))], schema=_KEYED)
 
-    return rows.mapInArrow(run, "id long, batch_no int, file_key long, body_key long, near_keys array<long>")
+    return rows.mapInArrow(run, "id long, batch_no int, file_key long, file_check long, body_key long, body_check long, near_keys array<long>")
 
 
 def _exact(batch: DataFrame) -> DataFrame:
-    kinds = F.array(F.struct(F.lit(FILE).alias("key_no"), F.col("file_key").alias("key")), F.struct(F.lit(BODY).alias("key_no"), F.col("body_key").alias("key")))
+    kinds = F.array(*(F.struct(F.lit(number).alias("key_no"), F.col(f"{name}_key").alias("key"), F.col(f"{name}_check").alias("check")) for number, name in ((FILE, "file"), (BODY, "body"))))
     return batch.select("id", "batch_no", F.inline(kinds)).filter("key IS NOT NULL")
 
 
 def copies(batch: DataFrame) -> DataFrame:
-    """a, b, key_no of every document of a batch that has the file or body key of an earlier one in the same batch; a is the first such."""
+    """a, b, key_no of every document of a batch that has the file or body of an earlier one in the same batch; a is the first such. A group is joined with its one first document, so it may be of any size; no text is read."""
     rows = _exact(batch)
-    firsts = rows.groupBy("batch_no", "key_no", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(firsts, ["batch_no", "key_no", "key"]).filter("id > a").select("a", F.col("id").alias("b"), "key_no")
+    firsts = rows.groupBy("batch_no", "key_no", "key", "check").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(firsts, ["batch_no", "key_no", "key", "check"]).filter("id > a").select("a", F.col("id").alias("b"), "key_no")
 
 
 class History:
@@ -149,11 +158,11 @@ class History:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge a batch of keyed() rows; a, b, key_no of the pairs of its records with their neighbours (a < b), itself included."""
-        firsts = _exact(batch).groupBy("key_no", "key").agg(F.min("id").alias("id"))
+        firsts = _exact(batch).groupBy("key_no", "key", "check").agg(F.min("id").alias("id"))
         # near keys of the first document of each body only
-        bodies = batch.filter("body_key IS NOT NULL").groupBy("body_key").agg(F.min_by("near_keys", "id").alias("near_keys"), F.min("id").alias("id")).filter("near_keys IS NOT NULL")
+        bodies = batch.filter("body_key IS NOT NULL").groupBy("body_key", "body_check").agg(F.min_by("near_keys", "id").alias("near_keys"), F.min("id").alias("id")).filter("near_keys IS NOT NULL")
         near = bodies.select(F.posexplode("near_keys"), "near_keys", "id").select((F.col("pos") + NEAR).alias("key_no"), F.col("col").alias("key"), F.get("near_keys", (F.col("pos") + 1) % KEYS).alias("check"), "id")
-        rows = firsts.select("key_no", "key", F.lit(0).cast("long").alias("check"), "id").unionByName(near).withColumn("range", self._range())
+        rows = firsts.select("key_no", "key", "check", "id").unionByName(near).withColumn("range", self._range())
         run = self._next()
         rows.repartition("range").sortWithinPartitions("range", "key_no", "key", "id").write.option("compression", "zstd").partitionBy("range").parquet(run)
         pairs = self._neighbours(run)
@@ -235,8 +244,9 @@ def _merge(old: list[str], new: str, r: int) -> pa.RecordBatch:
             other = key[one] ^ key[two]
             hit = np.flatnonzero(np.where(near, other >> shift == 0, other == 0) & (number[one] == number[two]) & (fresh[one] | fresh[two]) & (doc[one] != doc[two]))
             if hit.size:  # of those, look at all bytes
-                both = np.stack([other[hit], check[hit] ^ check[hit + d]], 1).view(np.uint8)
-                hit = hit[(number[hit + d] < NEAR) | ((both == 0).sum(1) >= PREFIX + REST)]
+                checks = check[hit] ^ check[hit + d]
+                both = np.stack([other[hit], checks], 1).view(np.uint8)
+                hit = hit[np.where(number[hit + d] < NEAR, checks == 0, (both == 0).sum(1) >= PREFIX + REST)]
             got.append((np.minimum(doc[hit], doc[hit + d]), np.maximum(doc[hit], doc[hit + d]), number[hit]))
         a, b, kinds = (np.concatenate([g[k] for g in got]) for k in range(3))
         kinds = np.minimum(kinds, NEAR)

@@ -50,8 +50,7 @@ def repaired(reports: DataFrame, batches: DataFrame) -> DataFrame:
 
 def house_lines(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """line: the lines that any house prints on note after note."""
-    places = rows.filter("source IS NOT NULL").select(F.col("id").alias("doc"), "source", F.explode(F.array_distinct("lines")).alias("line")).filter("line != 0")
-    return boiler.repeated(places.withColumn("variant", F.col("line")), sources).select("line").distinct()
+    return boiler.often(boiler.partial_of_lists(rows.withColumnRenamed("id", "doc")), sources).select("line").distinct()
 
 
 def repeats(spark: SparkSession, reports: DataFrame, batches: DataFrame) -> DataFrame:
@@ -80,11 +79,8 @@ def repeats(spark: SparkSession, reports: DataFrame, batches: DataFrame) -> Data
     few, crowds = crowds.filter("crowd IS NULL").select("a", "b", F.lit(history.NEAR).alias("key_no")), crowds.filter("crowd IS NOT NULL")
     found = written(spark, found.unionByName(few).distinct(), "pairs")
 
-    files = found.filter(F.col("key_no") == history.FILE).select("a", "b")
-    md5 = rows.select("id", F.lower(F.trim("file_md5")).alias("m"))
-    same = files.join(md5.select(F.col("id").alias("a"), F.col("m").alias("m_a")), "a").join(md5.select(F.col("id").alias("b"), F.col("m").alias("m_b")), "b").filter("m_a = m_b").select("a", "b")
-
-    near = found.filter(F.col("key_no") != history.FILE).select("a", "b").distinct()
+    same = found.filter(F.col("key_no") < history.NEAR).select("a", "b")  # equal files and bodies need no look at the texts
+    near = found.filter(F.col("key_no") == history.NEAR).select("a", "b").distinct()
     ids = written(spark, near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowds.select(F.col("a").alias("id"))).distinct(), "ids")
     some = rows.filter("text IS NOT NULL").select("id", "text", "lines")
     some = some.join(F.broadcast(ids) if ids.count() <= history.MOST_IDS else ids, "id", "left_semi")
