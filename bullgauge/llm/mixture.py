@@ -53,7 +53,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: counts taken, with the largest sum up to the budget. Sets of reachable sums are bits of whole numbers; bounds are split into powers of two."""
+    """Bounded subset sum: counts taken, with the largest sum up to the budget. The set of reachable sums is the bits of one whole number; of each sum only the item that reached it first is kept, as it is enough to go back by. Bounds are split into powers of two."""
     items = []
     for k, (length, c) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         c, p = min(c, budget // length), 1
@@ -62,18 +62,21 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
             items.append((k, n, n * length))
             c -= n
             p *= 2
-    mask, reach = (1 << budget + 1) - 1, [1]
-    for _, _, size in items:
-        reach.append(reach[-1] | reach[-1] << size & mask)
-        if reach[-1] >> budget & 1:
+    mask, reach = (1 << budget + 1) - 1, 1
+    by = np.full(budget + 1, -1, np.int32)
+    for j, (_, _, size) in enumerate(items):
+        new = reach << size & mask & ~reach
+        if new:
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little"))] = j
+            reach |= new
+        if reach >> budget & 1:
             break
-    at = reach[-1].bit_length() - 1
+    at = reach.bit_length() - 1
     take = np.zeros_like(counts)
-    for j in range(len(reach) - 2, -1, -1):
-        if not reach[j] >> at & 1:
-            k, n, size = items[j]
-            take[k] += n
-            at -= size
+    while at:  # what an item reached first was reached before without it
+        k, n, size = items[by[at]]
+        take[k] += n
+        at -= size
     return take
 
 
