@@ -30,6 +30,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 LONG = 192  # bytes; longer words run alone, so one of them doesn't keep a batch waiting
+MOST_STATES = 1 << 16  # 1 kB each; a table that has grown beyond is begun anew before the next words
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -103,6 +104,10 @@ class Automaton:
         self.size = np.zeros(len(self.g.birth), np.int32)
         for t, s in self.g.text.items():
             self.size[t] = len(s)
+        self.begin()
+
+    def begin(self) -> None:
+        """An empty table; arcs and labels stay."""
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.table = np.full((4096, 256), -1, np.int32)
@@ -136,8 +141,25 @@ class Automaton:
         self.table[state, byte] = k
         return k
 
+    def _alone(self, word: bytes) -> np.ndarray:
+        """Labels of one word, by plain look-ups: its states soon repeat."""
+        known: dict[int, int] = {}
+        path = []
+        s = 0
+        for b in word:
+            key = s << 8 | b
+            nxt = known.get(key)
+            if nxt is None:
+                nxt = int(self.table[s, b])
+                known[key] = nxt = nxt if nxt >= 0 else self.step(s, b)
+            path.append(nxt)
+            s = nxt
+        return self.last[path]
+
     def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(labels of all words one after the other, where each word's labels begin; one more at the end)."""
+        if len(self.keys) > MOST_STATES:
+            self.begin()
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         start = np.zeros(n + 1, np.int64)
@@ -147,11 +169,7 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         many = int(np.searchsorted(-size[order], -LONG))  # the longest come first
         for w in order[:many]:
-            s = 0
-            for i in range(start[w], start[w + 1]):
-                nxt = self.table[s, data[i]]
-                s = int(nxt) if nxt >= 0 else self.step(s, int(data[i]))
-                label[i] = self.last[s]
+            label[start[w] : start[w + 1]] = self._alone(words[w])
         order = order[many:]
         at, left = start[order], size[order]
         state = np.zeros(len(order), np.int32)
@@ -220,7 +238,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str, model: bytes | None = None) -> Encoder:
     """One encoder per Python worker; its table grows with the words it meets."""
     e = _encoders.get(path)
-    if e is None or len(e.automaton.keys) > 400_000:
+    if e is None:
         e = _encoders[path] = Encoder(json.loads(model or open(path, "rb").read())["model"])
     return e
 
