@@ -1,14 +1,14 @@
 """Subject areas of documents by a seeded non-negative factorization.
 
 Method: the term matrix V (rows: sentences of documents; columns: hashed terms, i.e. pairs of neighbouring ideographs and lower-case words)
-is factored as V ~ W H by alternating multiplicative updates for the Kullback-Leibler divergence. H has one component per subject,
+is factored as V ~ W H by alternating multiplicative updates for the Kullback-Leibler divergence, with a price on every component that a row of W uses. H has one component per subject,
 anchored by the labelled documents and the names of the areas, and one for what is said everywhere; W's rows are drawn towards their document's
 mixture, so a sentence without a telling word goes with its document. Components stay tied to their
 subjects, so W is read off directly: a sentence deals with its strongest subject unless the common
 component explains it; a document has each subject of at least ``MIN_SHARE`` of its sentences that deal with any.
 
-Fit: the anchors and ``ROUNDS`` updates come from a bounded sample of labelled documents (``SAMPLE``, those with the least
-hash of the id); one more update of H goes over all documents, its sums added up in the cluster. H is
+Fit: the anchors and ``ROUNDS`` updates come from a bounded sample of labelled documents (``SAMPLE`` of them with ``SAMPLE_CHARS``
+characters together, those with the least hash of the id); one more update of H goes over all documents, its sums added up in the cluster. H is
 ``TERMS`` x (subjects + 1) numbers, whatever the corpus.
 
 Defined results: null, empty and blank texts have no subject; a document whose sentences are all common has none;
@@ -22,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TERMS = 1 << 17
 SAMPLE = 8_000
+SAMPLE_CHARS = 8_000_000
 ROUNDS = 6
 MIN_SHARE = 0.2
-PULL = 1.2
+PULL = 1.1
+SPARSE = 0.3  # price of a component in a sentence's row
 COMMON = 1  # subjects in which a common term may be missing
 SAID = 0.1  # expected share of common sentences
 SMOOTH = 0.1
@@ -89,14 +91,13 @@ def mixtures(t: Terms, h: np.ndarray, prior: np.ndarray, rounds: int = 4) -> tup
     theta = np.broadcast_to(prior, (t.docs, k)).astype(np.float32)
     n = np.bincount(t.doc, minlength=t.docs)[:, None]
     w = theta[t.doc]
-    size = np.add.reduceat(v, t.starts, axis=0)
     for _ in range(rounds):
         y = x * w[t.sentence]
         y *= v / y.sum(1, keepdims=True)
-        # the document's mixture counts as much as a little over one telling term; a sentence deals with one subject, so the strongest is sharpened
-        own = (np.add.reduceat(y, t.starts, axis=0) + PULL * theta[t.doc]) / (size + PULL)
-        w = np.square(own)
-        w /= w.sum(1, keepdims=True)
+        # the document's mixture counts as much as a little over one telling term
+        own = np.add.reduceat(y, t.starts, axis=0) + PULL * theta[t.doc]
+        own = np.maximum(own - SPARSE, 1e-4 * own)
+        w = own / own.sum(1, keepdims=True)
         sums = np.stack([np.bincount(t.doc, w[:, j], t.docs) for j in range(k)], 1)
         theta = ((sums + prior) / (n + 1)).astype(np.float32)
     return w.astype(np.float32), theta
@@ -179,11 +180,14 @@ def _parts(texts: list[str | None]) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """doc_id, text, subjects of at most ``bound`` labelled documents."""
+def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """doc_id, text, subjects of at most ``bound`` labelled documents of at most ``chars`` characters together: those with the least hash of the id."""
     known = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.filter(F.trim("text") != "").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    some = docs.filter(F.trim("text") != "").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    size = some.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most ``bound`` numbers
+    return some.join(F.broadcast(size.withColumn("upto", upto).filter(F.col("upto") <= chars).select("doc_id")), "doc_id")
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list[str], np.ndarray]:
