@@ -33,6 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bullgauge.llm import shared
 from bullgauge.llm.shared import shared_dir, written
 
 RUN, SIMILAR = 5, 0.6
@@ -143,6 +144,8 @@ class History:
     def __init__(self, spark: SparkSession, splits: int = 1, path: str | None = None):
         self.spark, self.splits = spark, splits
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+        if not path:
+            shared._MADE.append(self.path)  # a history without a place of its own lasts as long as the job
         self.runs: list[str] = []
         self.ranges = (KEYS + 2) * splits
         self.added = self.written = 0

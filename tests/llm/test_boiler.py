@@ -47,3 +47,27 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, org_id long, parsed_text string, parse_status string")
     found = boiler.report_lines(spark, df)
     assert boiler.places(found, boiler.repeated(found, boiler.sources(df))).count() == 0
+
+
+def test_bitmaps_decide(spark):
+    """Variants of a line are one line, over buckets and with runs; a document that has the line twice counts once; without its bitmap a line has no places."""
+    docs = [(k, 1, "**声明** 甲" if k % 2 else "声明 甲\n声明 甲") for k in range(65_530, 65_542)] + [(k, 1, f"正文{chr(0x4E00 + k)}") for k in range(100)]
+    df = spark.createDataFrame(docs, "id long, org_id long, parsed_text string").withColumn("parse_status", F.lit("ok"))
+    found = boiler.report_lines(spark, df)
+    lines = boiler.repeated(found, boiler.sources(df))
+    rows = lines.collect()
+    assert {(r.bucket, len(boiler.unpack(bytes(r.bitmap)))) for r in rows} == {(0, 6), (1, 6)} and {(r.docs, r.variants) for r in rows} == {(12, 2)}
+    assert boiler.places(found, lines).count() == 18
+    assert {r.doc for r in boiler.places(found, lines.filter("bucket = 1")).collect()} == set(range(65_536, 65_542))
+    emptied = lines.withColumn("bitmap", F.lit(boiler.pack(np.array([60_000]))))
+    assert boiler.places(found, emptied).count() == 0
+
+
+def test_containers_of_lists_are_the_same(spark):
+    rng = random.Random(5)
+    rows = [(k, k % 3 or None, [rng.randint(0, 9) for _ in range(rng.randint(0, 6))]) for k in range(200)] + [(900, 1, None)]
+    df = spark.createDataFrame(rows, "doc long, source long, lines array<long>")
+    flat = spark.createDataFrame([(d, s, x, x) for d, s, xs in rows if s and xs for x in xs if x], "doc long, source long, line long, variant long")
+    n = spark.createDataFrame([(1, 70), (2, 60)], "source long, n long")
+    show = lambda t: {(r.source, r.line, r.bucket, bytes(r.bitmap), r.docs) for r in t.collect()}
+    assert show(boiler.often(boiler.partial_of_lists(df), n)) == show(boiler.repeated(flat, n)) != set()

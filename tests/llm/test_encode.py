@@ -34,3 +34,17 @@ def test_table(spark):
     got = {r.key: r.ids for r in encode.ids(spark, df, "doc_id", "text").collect()}
     assert got[2] == got[3] == [] and got[1] == got[4] and len(got[5]) >= 50_000
     assert encode.ids(spark, df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_words_and_a_table_begun_anew(monkeypatch):
+    import json
+
+    from bullgauge.llm import encode
+
+    e = encode.Encoder(json.load(open(encode.TOKENIZER))["model"])
+    texts = ["沪铜" * 5000, "x" * 70_000, "Lorem" * 3000 + " ipsum", "库存 去化"]
+    first = [x.tolist() for x in e.encode(texts)]
+    monkeypatch.setattr(encode, "MOST_STATES", 1)
+    assert [x.tolist() for x in e.encode(texts)] == first
+    at = first[1]
+    assert [e.decode(first[0][a:b]) for a, b in zip(at, at[1:])] == texts

@@ -155,3 +155,12 @@ def test_tiles_of_a_crowd_against_all_pairs(spark, monkeypatch, block):
                     pairs += 1
                     got += a in reach[b]
     assert got == pairs > 100 and label
+
+
+def test_equal_bodies_need_no_texts(spark):
+    """Copies are links by their two hashes: a group that holds most rows sends no body anywhere."""
+    rows = [(i, 0, f"f{i % 2}", "甲乙丙丁戊己" if i % 3 else None) for i in range(90)]
+    keys = history.keyed(spark.createDataFrame(rows, "id long, batch_no int, f string, body string"), lambda b: b.column(3).to_pylist())
+    got = {(r.a, r.b, r.key_no) for r in history.copies(keys).collect()}
+    bodies = [i for i in range(90) if i % 3]
+    assert got == {(i % 2, i, history.FILE) for i in range(2, 90)} | {(1, i, history.BODY) for i in bodies[1:]}

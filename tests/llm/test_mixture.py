@@ -60,3 +60,19 @@ def test_larger_total_gives_all(spark, tables):
 def test_empty(spark, tables):
     _, sized, targets = tables
     assert mixture.mix(sized.limit(0), targets, "doc_id").count() == 0
+
+
+def test_knapsack_against_all_sums():
+    import numpy as np
+
+    from bullgauge.llm import mixture
+
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        lengths = np.unique(rng.integers(2, 40, 5))
+        counts, budget = rng.integers(1, 4, lengths.size), int(rng.integers(1, 100))
+        take = mixture.knapsack(lengths, counts, budget)
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {x + n * j for x in sums for j in range(c + 1) if x + n * j <= budget}
+        assert (take * lengths).sum() == max(sums) and (take <= counts).all() and (take >= 0).all()
