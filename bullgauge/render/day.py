@@ -31,6 +31,7 @@ class Day:
     reasons: str
     counts: dict
     versions: tuple[str, str] = field(default=("", ""))
+    turned: int | None = None  # houses more (or less) that are bullish on the product that moved most
 
 
 def last_day(index: DataFrame, day: str | None = None) -> str | None:
@@ -46,7 +47,7 @@ def load_day(index: DataFrame, readable: DataFrame, votes: DataFrame, day: str,
     on = F.col("trade_date") == F.lit(day).cast("date")
     until = index.filter(F.col("trade_date") <= F.lit(day).cast("date"))
     rows = [r.asDict() for r in trends.compare_previous(until).filter(on).join(index.filter(on).select("level", "key", "bull_count", "bear_count", "neutral_count"), ["level", "key"]).collect()]
-    ballot = [r.asDict() for r in votes.filter(on).select("org_name", "product_code", "direction", "confidence", "evidence", "title").collect()]
+    ballot = [r.asDict() for r in votes.filter(on).select("org_name", "product_code", "direction", "confidence", "evidence", "title", "publish_time", "ingest_time").collect()]
     hits: dict[str, int] = {}
     for v in ballot:
         hits[v["org_name"]] = hits.get(v["org_name"], 0) + (v["product_code"] is not None)
@@ -54,6 +55,7 @@ def load_day(index: DataFrame, readable: DataFrame, votes: DataFrame, day: str,
     base = levels.baseline(readable.filter(on)).first()
     sector = lambda k: lexicon.BY_CODE[k].sector if k in lexicon.BY_CODE else None
     why = trends.alerts(until, s).filter(on).first()
+    movers = [r.asDict() for r in trends.top_movers(until, 1).filter(on).collect()]
     return Day(
         date.fromisoformat(day), market,
         sorted((r for r in rows if r["level"] == "sector"), key=lambda r: (lexicon.sector_rank(r["key"]), r["key"])),
@@ -62,14 +64,28 @@ def load_day(index: DataFrame, readable: DataFrame, votes: DataFrame, day: str,
         sorted(hits.items(), key=lambda x: (-x[1], x[0])),
         [r.asDict() for r in trends.index_series(until, "market", "MARKET", 60).collect()],
         base.asDict() if base else None,
-        [r.asDict() for r in trends.top_movers(until, 1).filter(on).collect()],
+        movers,
         [r.asDict() for r in trends.most_divergent(until, 1).filter(on).collect()],
         why["reasons"] if why else "",
         {"opinions": len(ballot), "low": sum(v["product_code"] is not None and (v["confidence"] or 0) < s.low_confidence for v in ballot)},
         (rows[0]["model_version"], rows[0]["calc_version"]) if rows else ("", ""),
+        _turned(until, rows, movers[0]["key"]) if movers else None,
     )
 
 
+def _turned(until: DataFrame, rows: list[dict], key: str) -> int:
+    """Bullish houses on a product against the index date before."""
+    now = next(r for r in rows if r["level"] == "product" and r["key"] == key)
+    before = until.filter((F.col("level") == "product") & (F.col("key") == key) & (F.col("trade_date") == F.lit(now["prev_date"]))).first()
+    return now["bull_count"] - before["bull_count"]
+
+
+def pooled(d: Day) -> float | None:
+    """The net of all product votes: shown where a day has no market row."""
+    votes = [sum(r[c] for r in d.products) for c in ("bull_count", "bear_count", "neutral_count")]
+    return (votes[0] - votes[1]) / sum(votes) * 100 if sum(votes) else None
+
+
 # ------------------------------------------------------------------ text
 def width(text: str) -> int:
     """Columns on a terminal."""
@@ -110,6 +126,8 @@ def since(before: date | None, day: date) -> str:
 
 
 def push_message(d: Day) -> str:
+    if not d.market and (net := pooled(d)) is not None:
+        return f"📊 {d.day} 无大盘汇总，按 {len(d.products)} 个品种合并：净得分 {signed(net)}"
     if not d.market:
         return f"（{d.day} 没有聚合结果：当日无覆盖，不产出数字）"
     m, out = d.market, []
@@ -121,12 +139,15 @@ def push_message(d: Day) -> str:
         out += ["板块  " + "  ".join(f"{r['key']} {signed(r['net_score'], 0)}" for r in d.sectors), ""]
     if d.movers:
         r = d.movers[0]
-        out.append(f"变化最大  {name(r['key'])} {signed(r['prev_net'], 0)} → {signed(r['net_score'], 0)}")
+        note = "家数未变" if not d.turned else f"{abs(d.turned)} 家{'转多' if d.turned > 0 else '转空'}"
+        out.append(f"变化最大  {name(r['key'])} {signed(r['prev_net'], 0)} → {signed(r['net_score'], 0)}（{note}）")
     elif d.products:
         r = max(d.products, key=lambda r: (r["net_score"], r["key"]))
         out.append(f"最看多    {name(r['key'])} {signed(r['net_score'], 0)}（{r['bull_count']} 家看多）")
     out.append(f"分歧最大  {name(d.split[0]['key'])}（{d.split[0]['bull_count']} 家看多 / {d.split[0]['bear_count']} 家看空）" if d.split else "分歧最大  无")
-    if d.baseline:
+    if not d.baseline:
+        out.append("对照  NA（当日没有可读观点）")
+    else:
         b = d.baseline
         out.append(f"对照（一家一票只数家数 {b['bull_orgs']}/{b['bear_orgs']}/{b['tie_orgs']}）{signed(b['net'])}")
     out.append(f"口径 {d.versions[1]}｜打分 {d.versions[0]}｜多空中 {m['bull_count']}/{m['bear_count']}/{m['neutral_count']}（{len(d.products)} 个品种有覆盖，其余记 NA）")
@@ -152,12 +173,25 @@ def matrix_text(d: Day, s: Settings = DEFAULT) -> str:
     return "\n".join(out + more)
 
 
-def terminal(d: Day, s: Settings = DEFAULT) -> str:
+def two_sided(net: float, half: int = 20) -> str:
+    """A bar to the left of the middle for bears, to the right for bulls."""
+    n = round(abs(net) / 100 * half)
+    return (" " * (half - n) + "█" * n if net < 0 else " " * half) + "│" + ("█" * n if net > 0 else "")
+
+
+def painted(text: str, net: float, color: bool) -> str:
+    """Red for bulls, green for bears."""
+    return f"\033[{31 if net > 0 else 32}m{text}\033[0m" if color and net else text
+
+
+def terminal(d: Day, s: Settings = DEFAULT, color: bool = False) -> str:
     if not d.market:
         return push_message(d)
-    filled = round(d.market["score"] / 2)
-    bars = [pad(r["key"], 10) + pad(signed(r["net_score"]), 8, True) + "  " + ("█" * round(abs(r["net_score"]) / 5)) for r in d.sectors]
-    return "\n".join([f"{d.day}  大盘 {d.market['score']:.1f}  {level_name(d.market['score'])}", "█" * filled + "░" * (50 - filled), "", *bars, "", matrix_text(d, s), "", push_message(d)])
+    score = d.market["score"]
+    filled = round(score / 2)
+    gauge = "█" * filled + "░" * (50 - filled)
+    bars = [pad(r["key"], 10) + pad(signed(r["net_score"]), 8, True) + "  " + painted(two_sided(r["net_score"]), r["net_score"], color) for r in d.sectors]
+    return "\n".join([f"{d.day}  大盘 {score:.1f}  {level_name(score)}", "0 " + painted(gauge, score - 50, color) + " 100", "", *bars, "", matrix_text(d, s), "", push_message(d)])
 
 
 # ------------------------------------------------------------------ HTML
@@ -187,12 +221,15 @@ def html_page(d: Day, s: Settings = DEFAULT) -> str:
         v = d.votes.get((o, code))
         if not v:
             return "<td>"
-        tip = f"{(v['evidence'] or '')[:220]}｜{v['title'] or ''}｜{v['confidence']:.2f}"
+        tip = f"{(v['evidence'] or '')[:220]}｜{v['title'] or ''}｜{v['confidence']:.2f}｜{'/'.join(d.versions)}｜{v.get('publish_time') or 'NA'} → {v.get('ingest_time') or 'NA'}"
         low = " low" if v["confidence"] < s.low_confidence else ""
         return f'<td class="{tone(v["direction"])}{low}" title="{e(tip, quote=True)}">{mark(v["direction"], s)}'
 
     body = "".join(f"<tr><th>{e(name(r['key']))}<td>{signed(r['net_score'])}" + "".join(cell(o, r["key"]) for o in orgs) for r in d.products)
+    base = "NA" if not d.baseline else signed(d.baseline["net"])
+    facts = e(f"{d.market['coverage_count']} 家机构 · {d.counts['opinions']} 个观点 · {len(d.products)} 个品种 · 低置信 {d.counts['low']} · 对照 {base}")
+    foot = e(f"口径 {d.versions[1]}，打分 {d.versions[0]}，看空权重 {s.bear_weight:g}；空白为未覆盖，不是中性")
     return (
-        head + f"<p><b>{d.market['score']:.1f}</b> {level_name(d.market['score'])} {signed(d.market['delta_score'])}</p>" + _chart(d)
-        + f"<table>{sectors}</table><table><tr><th><th>" + "".join(f"<th>{e(o)}" for o in orgs) + body + f"</table><pre>{e(push_message(d))}</pre></html>"
+        head + f"<p><b>{d.market['score']:.1f}</b> {level_name(d.market['score'])} {signed(d.market['delta_score'])}</p><p>{facts}</p>" + _chart(d)
+        + f"<table>{sectors}</table><table><tr><th><th>" + "".join(f"<th>{e(o)}" for o in orgs) + body + f"</table><pre>{e(push_message(d))}</pre><footer>{foot}</footer></html>"
     )

@@ -109,3 +109,25 @@ def test_versions_stand_side_by_side(spark, folder, tmp_path):
     rows = one.read_index("2026-09-09", "product").collect()
     assert [r.key for r in rows] == [r.key for r in sorted(rows, key=lambda r: (-r.net_score, r.key))] and {r.level for r in rows} == {"product"}
     assert one.read_index("2030-01-01").count() == 0
+
+
+def test_views_of_a_day():
+    from datetime import date
+
+    from bullgauge.render import day as view
+
+    row = lambda level, key, net, **k: {"level": level, "key": key, "net_score": net, "score": (net + 100) / 2, "prev_net": 0.0, "prev_date": date(2026, 9, 8), "delta_score": 5.0, "bull_count": 3, "bear_count": 1, "neutral_count": 0, "coverage_count": 4} | k
+    move = [{"key": "CU", "prev_net": -50.0, "net_score": 50.0}]
+    d = view.Day(date(2026, 9, 9), row("market", "MARKET", 50.0), [row("sector", "有色", 50.0)], [row("product", "CU", 50.0)], {}, [], [], None, move, [], "", {"opinions": 4, "low": 0}, ("rule-v1", "netscore-v1"), 2)
+    said = view.push_message(d)
+    assert "（2 家转多）" in said and "对照  NA" in said
+    d.turned = -1
+    assert "（1 家转空）" in view.push_message(d)
+    assert "\033[31m" in view.terminal(d, color=True) and "\033[" not in view.terminal(d)
+    assert view.two_sided(-50.0, 4) == "  ██│" and view.two_sided(100.0, 4) == "    │████"
+    page = view.html_page(d)
+    assert "<footer>" in page and "对照 NA" in page
+    d.market = None
+    assert "按 1 个品种合并：净得分 +50.0" in view.push_message(d)
+    d.products = []
+    assert "不产出数字" in view.push_message(d)
