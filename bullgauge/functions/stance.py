@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,17 +69,19 @@ def _guards() -> dict[str, int]:
 def _first_rule(clause: Column, weak: Column | bool = True) -> Column:
     """Number of the first rule that fits; ``weak``: do trend words count. Which characters a clause holds is looked up once, so hardly any pattern is tried in vain."""
     guards = _guards()
+    holds = [clause.contains(c) if len(c) == 1 else clause.rlike(f"[{c}]") for c in guards]
 
     def numbered(has: Column) -> Column:
-        case = F.when(~reduce(or_, (F.get(has, F.lit(k)) for k in range(len(guards)))), F.lit(None).cast("int"))
+        found = [has[k] for k in range(len(guards))]
+        case = None
         for r in lexicon.RULES:
-            fits = F.get(has, F.lit(guards[lexicon.needed_by(r.pattern)])) & clause.rlike(r.pattern)
-            if r.group == "weak":
-                fits = weak & fits if isinstance(weak, Column) else fits & F.lit(weak)
-            case = case.when(fits, F.lit(r.ord))
+            fits = found[guards[lexicon.needed_by(r.pattern)]] & clause.rlike(r.pattern)
+            if r.group == "weak" and weak is not True:
+                fits = fits & weak
+            case = (F if case is None else case).when(fits, r.ord)
         return case
 
-    return let(F.array(*(reduce(or_, (clause.contains(c) for c in chars)) for chars in guards)), numbered)
+    return F.when(clause.rlike(f"[{lexicon.needed_characters()}]"), let(F.array(*holds), numbered))  # most clauses end here
 
 
 def _of_rule(ord_: Column, values: list) -> Column:
@@ -89,10 +90,10 @@ def _of_rule(ord_: Column, values: list) -> Column:
     return F.get(F.expr(f"array({items})"), ord_ - 1)
 
 
-def _by_rule(ord_: Column, of: Callable[[Column], Column]) -> Column:
+def _by_rule(ord_: Column, of: Callable[[Column], Column], rules: list[lexicon.Rule]) -> Column:
     """``of(pattern)`` for the rule's pattern, which stays a literal, so it is compiled once for all rows."""
-    case = F.when(ord_ == 1, of(F.lit(lexicon.RULES[0].pattern)))
-    for r in lexicon.RULES[1:]:
+    case = F
+    for r in rules:
         case = case.when(ord_ == r.ord, of(F.lit(r.pattern)))
     return case
 
@@ -112,16 +113,21 @@ def _judge(part: Column, weak: Column, s: Settings) -> Column:
     rules, n = lexicon.RULES, s.negation_window
 
     def rule(x: Column) -> Column:
-        o = x["o"]
+        o, c = x["o"], x["c"]
         found = F.struct(
             *(x[k].alias(k) for k in ("c", "o", "raw", "sentence", "whole")),
-            _by_rule(o, lambda p: F.regexp_substr(x["c"], p)).alias("m"),
-            _by_rule(o, lambda p: F.regexp_instr(x["c"], p)).alias("at"),
+            _by_rule(o, lambda p: F.regexp_substr(c, p), list(rules)).alias("m"),
             _of_rule(o, [r.direction for r in rules]).alias("d"),
             _of_rule(o, [r.confidence for r in rules]).alias("conf"),
             _of_rule(o, [r.group == "special" or r.direction == 0 for r in rules]).alias("plain"),
         )
-        return F.when(o.isNotNull(), let(found, scope))
+        return F.when(o.isNotNull(), let(found, place))
+
+    def place(x: Column) -> Column:
+        # the words of a match stand nowhere before it, but where a pattern looks behind
+        behind = [r for r in rules if "(?<" in r.pattern]
+        at = F.coalesce(_by_rule(x["o"], lambda p: F.regexp_instr(x["c"], p), behind), F.instr(x["c"], x["m"]))
+        return let(F.struct(*(x[k].alias(k) for k in ("c", "o", "raw", "sentence", "whole", "m", "d", "conf", "plain")), at.alias("at")), scope)
 
     def scope(x: Column) -> Column:
         at = x["at"]
