@@ -341,11 +341,29 @@ _ARG = r"\{((?:[^{}\n]|\{[^{}\n]*\})*)\}"
 _TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title)\*?" + _ARG)
 _TEX_DROP = re.compile(r"\\(?:label|ref|cite|vspace|hspace|usepackage|documentclass|bibliography|includegraphics)\*?(?:\[[^\]\n]*\])?" + _ARG)
 _TEX_ENV = re.compile(r"\\(?:begin|end)\{([A-Za-z*]+)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
-_TEX_WORD = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?" + _ARG)
+_TEX_BRACE = re.compile(r"\\[{}]|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|[{}]")
 _TEX_BARE = re.compile(r"\\(?:" + "|".join(COMMANDS) + r")(?![A-Za-z])\s?")
 _FORMULA = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|(?<!\w)\$\$?([^$\n]*[\\^_{=][^$\n]*)\$\$?")
 
 
+def _unwrapped(line: str) -> str:
+    """Commands replaced by their arguments, however deep they stand in each other, in one pass; what has no closing brace stays."""
+    out: list[str] = []
+    open_: list[int] = []  # places of the heads of commands, -1 for a brace of its own
+    at = 0
+    for m in _TEX_BRACE.finditer(line):
+        out.append(line[at : m.start()])
+        at = m.end()
+        sign = m[0]
+        if sign == "}" and open_ and (head := open_.pop()) >= 0:
+            out[head] = ""
+            continue
+        if sign[-1] == "{" and sign != "\\{":
+            open_.append(-1 if sign == "{" else len(out))
+        out.append(sign)
+    return "".join(out) + line[at:]
+
+
 def _tex(line: str, head: str) -> str:
     if "\\" not in line and "$" not in line:
         return line
@@ -361,11 +379,7 @@ def _tex(line: str, head: str) -> str:
     line = _TEX_HEAD.sub(lambda m: head + m[1], line)
     line = re.sub(r"\\item(?![A-Za-z])(?:\[[^\]\n]*\])?\s?", "- " if head else "", line)
     line = re.sub(r"\\footnote" + _ARG, r"（\1）" if head else "", line)
-    while True:
-        new = _TEX_WORD.sub(r"\1", line)
-        if new == line:
-            break
-        line = new
+    line = _unwrapped(line)
     line = _TEX_BARE.sub("", line)
     line = re.sub(r"\\([%&_#${}])", r"\1", line)
     line = re.sub(r"\\\\[ \t]*(?=\r?$)", "", line)

@@ -83,3 +83,10 @@ def test_ratios_of_all_documents_of_a_source(spark):
                 mine[:] = [a + b for a, b in zip(mine, c)]
     want = {k: markup.plain_text(t, dropped=markup.dropped_paths(counts[s])) for k, s, t in rows if t and markup.is_marked(markup.nodes(t))}
     assert got == want and "首页" not in got[1] and got[100].strip() == ""
+
+
+def test_commands_in_commands():
+    assert markup.plain_text("\\textbf{a \\emph{b {c} d} e} \\{f\\}") == "a b {c} d e {f}"
+    assert markup.plain_text("\\textbf{a") == "\\textbf{a"
+    deep = markup.plain_text("\\textbf{" * 3000 + "x" + "}" * 3000)
+    assert deep == "x"
