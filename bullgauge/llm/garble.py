@@ -437,8 +437,8 @@ def repair_line(line: str) -> tuple[str, bool]:
         best, gain, most_worth = line, 0, 0.0
         most = sum(c >= "\x80" for c in line)
         likely = max(tried.values(), default=0) / 4  # the sequences of the right pair are all there, of another some by chance
-        for p in sorted(tried, key=lambda p: (-tried[p], PAIRS.index(p))):
-            if tried[p] < likely and p not in _SPARSE:
+        for p in sorted(tried, key=lambda p: (p[0] != "utf-8", -tried[p], PAIRS.index(p))):  # what proves itself comes first
+            if tried[p] < likely and p[0] != "utf-8" and p not in _SPARSE:
                 continue
             if p == ("gbk", "utf-8"):
                 hit = True  # the bytes are lost: found, but nothing can be restored

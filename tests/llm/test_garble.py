@@ -83,5 +83,5 @@ def test_real_words_of_other_languages_stay(line):
 
 
 def test_read_twice_in_two_ways():
-    bad = spoil(spoil("每日策略速递 15 成以内。", "utf-8", "cp1252"), "utf-8", "cp1252")
-    assert garble.repair_line(bad) == ("每日策略速递 15 成以内。", True)
+    for text in ("每日策略速递 15 成以内。", "更多晨会录音请下载穹台期货移动端"):
+        assert garble.repair_line(spoil(spoil(text, "utf-8", "cp1252"), "utf-8", "cp1252")) == (text, True)
